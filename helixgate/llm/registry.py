@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
+from .mixing import op7_mixing
 from .quality import op6_quality_rules
 from .simhash import op2_simhash
+from .sstable import op5_token_shards
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op5_token_shards": op5_token_shards,
     "op6_quality_rules": op6_quality_rules,
+    "op7_mixing": op7_mixing,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}

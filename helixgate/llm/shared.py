@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than ASCII white space.
@@ -44,8 +44,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def word_count(text) -> F.Column:
-    """Number of words, JVM-side and without building the words: the starts of words."""
-    return F.coalesce(
-        F.length(F.regexp_replace(F.regexp_replace(text, WORD, "w"), SPACES, "")).cast("long"), F.lit(0).cast("long")
-    )
+def word_count(text: Column) -> Column:
+    """Number of words of a whole text, JVM-side; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def digest(text: Column) -> Column:
+    """Content address of a text; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def take_rows(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as ``picked`` (doc_id, digest, m, copies, and source if need be)
+    says: m rows share these keys and text, and give ``copies`` rows together.
+
+    Texts are the streamed side of a hash join with the short list of picks, so they move once
+    and are not sorted; the few keys that rows repeat are handled apart."""
+    keys = [c for c in ("doc_id", "source", "digest") if c in picked.columns]
+    plain = {"doc_id": F.col("doc_id").cast("string"), "source": F.col("source"), "digest": F.col("digest")}
+    mark = lambda cols: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), cols[c]), F.lit("-")) for c in keys))
+    picked = materialize(picked.select(mark(plain).alias("__key"), "m", "copies"), "picked")
+    own = plain | {"digest": digest(F.col("text"))}
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), mark(own).alias("__key"))
+    once = packed.join(picked.where("m = 1").hint("shuffle_hash"), "__key")
+    out = once.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
+    many = materialize(picked.where("m > 1"), "picked-repeats")
+    if not many.isEmpty():
+        firsts = packed.join(many, "__key").dropDuplicates(["__key"])
+        out = out.unionByName(firsts.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*"))
+    return out

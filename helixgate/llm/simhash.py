@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, read
+from .shared import digest, materialize, read, take_rows
 
 RADIUS = 2
 _ONE = np.uint64(1)
@@ -228,7 +228,7 @@ def _classes(fps: DataFrame, max_bucket: int) -> DataFrame:
     comp = materialize(components(links(distinct.select("fp"), max_bucket)), "simhash-components")
     named = distinct.join(comp, distinct["fp"] == comp["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bucket: int = 512) -> DataFrame:
@@ -238,19 +238,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bucket: int = 512) -> D
 
 
 def keep_one(docs: DataFrame, width: int = 3, max_bucket: int = 512) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with all its columns; of
-    rows that repeat this doc_id the one with the least digest, once.
-
-    The verdict is a short list of (doc_id, digest) to keep; texts move once, to meet it."""
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    keyed = docs.select("doc_id", "text")
-    fps = materialize(fingerprints(keyed, width).select("doc.doc_id", F.col("doc.text").alias("text"), "fp").select("doc_id", "fp", digest.alias("digest")), "simhash-fingerprints")
-    first = fps.join(_classes(fps, max_bucket), "fp").groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("i"), "digest")).alias("k"))
-    keep = materialize(first.select("k.i", "k.digest"), "simhash-keep")
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("i"), digest.alias("digest"))
-    met = packed.join(keep.hint("shuffle_hash"), ["i", "digest"], "left_semi")
-    # rows that repeat both doc_id and text meet in one task already
-    return met.dropDuplicates(["i", "digest"]).select("doc.*")
+    """One document of each component, the one with the least doc_id (a null doc_id last), with
+    all its columns; of rows that repeat this doc_id the one with the least text digest, once."""
+    fps = fingerprints(docs.select("doc_id", "text"), width).select("doc.doc_id", digest(F.col("doc.text")).alias("digest"), "fp")
+    fps = materialize(fps, "simhash-fingerprints")
+    rows = fps.join(_classes(fps, max_bucket), "fp")
+    same = rows.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("m"))
+    first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "m")).alias("k"))
+    return take_rows(docs, first.select("k.doc_id", "k.digest", "k.m", F.lit(1).cast("long").alias("copies")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
