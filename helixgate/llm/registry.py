@@ -5,11 +5,13 @@ from __future__ import annotations
 from .decontaminate import op8_decontaminate
 from .mixing import op7_mixing
 from .quality import op6_quality_rules
+from .secrets import op3_secret_scan
 from .simhash import op2_simhash
 from .sstable import op5_token_shards
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_secret_scan": op3_secret_scan,
     "op5_token_shards": op5_token_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
