@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .mixing import op7_mixing
+from .pseudonyms import op9_pseudonyms
 from .quality import op6_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op2_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pseudonyms": op9_pseudonyms,
 }
 
 ORACLES: dict[str, str] = {}
