@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
+from .line_templates import op10_line_templates
+from .lm_score import op4_lm_scores
 from .mixing import op7_mixing
 from .pseudonyms import op9_pseudonyms
 from .quality import op6_quality_rules
@@ -13,11 +15,13 @@ from .sstable import op5_token_shards
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
+    "op4_lm_scores": op4_lm_scores,
     "op5_token_shards": op5_token_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_decontaminate": op8_decontaminate,
     "op9_pseudonyms": op9_pseudonyms,
+    "op10_line_templates": op10_line_templates,
 }
 
 ORACLES: dict[str, str] = {}
