@@ -11,8 +11,10 @@ from .quality import op6_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op2_simhash
 from .sstable import op5_token_shards
+from .url_templates import op1_url_templates
 
 QUERIES = {
+    "op1_url_templates": op1_url_templates,
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
     "op4_lm_scores": op4_lm_scores,
