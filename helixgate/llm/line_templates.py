@@ -1,6 +1,6 @@
 """Line dedup with a log-template tree.
 
-A line's words with a digit become the field mark; lines then fall through a tree of fixed depth,
+A line's words with a digit become the field mark, unless most would; lines then fall through a tree of fixed depth,
 by word count and leading words, to a leaf. In a leaf that several documents reach, a word that
 fewer than ``min_docs`` documents have at its place is a variable field and becomes the mark too.
 The result is the line's template, unless fewer than ``min_constant`` of its words are constant:
@@ -45,7 +45,11 @@ class Tree:
 
 
 def words_of(line: bytes) -> list[bytes]:
-    return (_DIGIT_WORD.sub(FIELD, line) if _DIGIT.search(line) else line).split()
+    """The words of a line with marks for fields, unless these would be most of it."""
+    if not _DIGIT.search(line):
+        return line.split()
+    words = _DIGIT_WORD.sub(FIELD, line).split()
+    return words if 2 * words.count(FIELD) <= len(words) else line.split()
 
 
 def _signed(x: int) -> int:

@@ -64,7 +64,7 @@ def _pivot(items: Column, seed: int, level: int) -> Column:
         u = _uniform(F.lit(seed), F.lit(level), a["tie"], x["tie"])
         low = total < 1.0
         # below 1 one of the two falls to 0, else one of them rises to 1
-        new_stays = F.when(low, u < q / total).otherwise(u < (1.0 - q) / (2.0 - total))
+        new_stays = F.when(low, u * total < q).otherwise(u < (1.0 - q) / (2.0 - total))
         left = F.when(new_stays, a["unit"]).otherwise(x["unit"])
         return F.struct(
             F.when(new_stays, x).otherwise(a).alias("item"),

@@ -7,9 +7,9 @@ labelled ones (callers may give labels of their own).
 The tree: path segments that are numbers, dates, long hexadecimal or mixed identifiers become
 wildcards of their kind at once. Then, level by level from the host down, the literal branches of
 a node are generalised: all of them where the node has too many for its urls, and else those that
-are statistically like their siblings taken together - same share of urls that end there, that go
-on to a wildcard, and that are labelled block, by Hoeffding bounds - provided both sides are
-labelled or neither is. Branches are compared with the pooled rest, never pair by pair. Templates
+are statistically like their siblings - same share of urls that end there, that go on to a
+wildcard, and that are labelled block, by Hoeffding bounds. A branch is compared with the pool of
+the siblings that mostly go on as it does and have labels if it has, never pair by pair. Templates
 are the paths of the finished tree; one is rejected when its labelled urls, smoothed by a Beta
 prior, are block to at least ``purity``. Templates without labels keep the prior and are allowed.
 
@@ -125,19 +125,22 @@ def templates(paths: DataFrame, tree: Tree = Tree()) -> DataFrame:
             F.when(seg(k + 1).startswith("<"), F.col("n")).otherwise(0).alias("wild"),
         )
         kids = live.groupBy("host", "node", "s").agg(*(F.sum(c).alias(c) for c in counts))
-        literal = kids.where(~F.col("s").startswith("<"))
-        sums = literal.groupBy("host", "node").agg(F.count("*").alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in counts))
+        labels = F.col("block") + F.col("allow")
+        on = F.col("n") - F.col("ends") - F.col("wild")
+        kind = F.concat(F.when(labels > 0, "labelled ").otherwise("bare "), F.when(F.col("wild") >= F.greatest("ends", on), "wild").when(F.col("ends") >= on, "end").otherwise("literal"))
+        literal = kids.where(~F.col("s").startswith("<")).withColumn("kind", kind)
+        pools = literal.groupBy("host", "node", "kind").agg(F.count("*").alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in counts))
+        nodes = pools.groupBy("host", "node").agg(F.sum("kids").alias("node_kids"), F.sum("all_n").alias("node_n"))
         rest = {c: F.col(f"all_{c}") - F.col(c) for c in counts}
-        labels, rest_labels = F.col("block") + F.col("allow"), rest["block"] + rest["allow"]
-        many = (F.col("kids") > tree.max_children) & (F.col("kids") > tree.max_distinct * F.col("all_n"))
+        many = (F.col("node_kids") > tree.max_children) & (F.col("node_kids") > tree.max_distinct * F.col("node_n"))
         alike = (
             (F.col("kids") > 1)
-            & ((labels > 0) == (rest_labels > 0))
             & _like(F.col("ends"), F.col("n"), rest["ends"], rest["n"], tree.alpha)
             & _like(F.col("wild"), F.col("n"), rest["wild"], rest["n"], tree.alpha)
-            & _like(F.col("block"), labels, rest["block"], rest_labels, tree.alpha)
+            & _like(F.col("block"), labels, rest["block"], rest["block"] + rest["allow"], tree.alpha)
         )
-        wild = literal.join(sums, ["host", "node"]).where(many | alike).select("host", "node", "s", F.lit(True).alias("any"))
+        sums = pools.join(nodes, ["host", "node"])
+        wild = literal.join(sums, ["host", "node", "kind"]).where(many | alike).select("host", "node", "s", F.lit(True).alias("any"))
         step = rows.withColumn("s", seg(k)).join(wild, ["host", "node", "s"], "left")
         name = F.concat("node", F.lit("/"), F.when(F.col("any"), F.lit("<any>")).otherwise(F.col("s")))
         rows = materialize(step.withColumn("node", F.when(F.size("segments") > k, name).otherwise(F.col("node"))).drop("s", "any"), "url-level")
