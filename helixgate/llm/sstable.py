@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -84,14 +85,14 @@ class Writer:
         self.index, self.hashes = bytearray(), []
 
     def add(self, key: bytes, value: bytes) -> None:
+        if self.documents and key < self.last:
+            raise ValueError("keys must ascend")
         if self.entries and len(self.block) >= self.block_bytes:
             self._flush()
         shared = 0
         if not self.entries:
             self.first, self.before = key, self.ids
         else:
-            if key < self.last:
-                raise ValueError("keys must ascend")
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
@@ -198,11 +199,14 @@ class Encoder:
     """Whole texts to ids through the tokenizer library.
 
     A tokenizer whose pre-tokenizer never lets a token cross white space gives a text the ids of
-    its chunks between white space one after the other; ``by_chunk`` says so, and then each
-    distinct chunk is encoded once and remembered, up to ``most`` chunks. Texts with the opening of
-    a special token are encoded whole."""
+    its chunks between white space one after the other; ``by_chunk`` says so, and then distinct
+    chunks are encoded once and remembered in two generations of ``most`` chunks: the older one is
+    given up when the younger is full. Texts with the opening of a special token are encoded whole.
 
-    def __init__(self, tokenizer_json: str, by_chunk: bool, most: int = 400_000):
+    New words of Latin letters go to the library many to a string. Its word-end marks tell them
+    apart again; a string whose marks don't add up is encoded word by word."""
+
+    def __init__(self, tokenizer_json: str, by_chunk: bool, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -210,55 +214,93 @@ class Encoder:
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.id_bytes == 2 else "<u4"
         self.end = np.array([END_ID], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, 256 to a string."""
+        out: list[bytes] = []
+        groups = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                out += self._bytes(group)
+                continue
+            data = ids.astype(self.kind).tobytes()
+            at = [0, *(ends * self.id_bytes).tolist()]
+            out += [data[a:b] for a, b in zip(at, at[1:])]
+        return out
+
     def _learn(self, chunks: set[str]) -> None:
-        """Encode new chunks. An ASCII chunk is taken in lower case, and cut before one closing
-        comma or full stop after a letter, where the pre-tokenizer cuts as well."""
-        if len(self.known) + len(chunks) > self.most:
-            self.known = {}
-        if len(self.cores) + len(chunks) > self.most:
-            self.cores = {}
+        """Bring all chunks to the younger generation, new ones encoded. An ASCII chunk is taken in lower case, and cut before one closing
+        comma or full stop after a Latin-1 letter, where the pre-tokenizer cuts as well."""
+        unknown = chunks.difference(self.young)
+        if len(self.young) + len(unknown) > self.most:
+            self.old, self.young, unknown = self.young, {}, chunks
         parts: dict[str, tuple[str, str]] = {}
-        for c in chunks:
-            core, tail = c, ""
-            if c.isascii():
-                core = c.lower()
-            if len(core) > 1 and core[-1] in ",." and core[-2].isascii() and core[-2].isalpha():
+        for c in unknown:
+            if c in self.old:
+                self.young[c] = self.old[c]
+                continue
+            core, tail = (c.lower() if c.isascii() else c), ""
+            if len(core) > 1 and core[-1] in ",." and core[-2].isalpha() and core[-2] < "\u0100":
                 core, tail = core[:-1], core[-1]
             parts[c] = (core, tail)
-        new = [x for x in {y for p in parts.values() for y in p} if x not in self.cores]
-        self.cores.update(zip(new, self._bytes(new)))
-        self.known.update((c, self.cores[a] + self.cores[b]) for c, (a, b) in parts.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        ids: dict[str, bytes] = {"": b""}
+        new = {x for p in parts.values() for x in p if x}
+        ids.update((x, found) for x in new if (found := self.young.get(x) or self.old.get(x)))
+        new.difference_update(ids)
+        plain = [x for x in new if x.isalpha() and max(x) < "\u0250"]
+        ids.update(zip(plain, self._words(plain)))
+        rest = list(new.difference(plain))
+        ids.update(zip(rest, self._bytes(rest)))
+        for c, (core, tail) in parts.items():
+            self.young[c] = ids[core] + ids[tail]
+            self.young[core] = ids[core]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text with the end id, as bytes."""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [n for n, t in enumerate(texts) if not self.by_chunk or "<|" in t]
-        for n, data in zip(whole, self._bytes([texts[n] for n in whole])):
-            out[n] = data + self.end
-        rest = [n for n in range(len(texts)) if not out[n]]
-        for at in range(0, len(rest), 256):
-            part = [(n, texts[n].translate(_BLANKS).split(" ")) for n in rest[at : at + 256]]
-            new = {c for _, chunks in part for c in chunks}.difference(self.known)
-            if new:
-                self._learn(new)
-            known = self.known
-            for n, chunks in part:
-                try:
-                    out[n] = b"".join([known[c] for c in chunks]) + self.end
-                except KeyError:  # forgotten to stay within ``most``
-                    self._learn(set(chunks))
-                    known = self.known
-                    out[n] = b"".join([known[c] for c in chunks]) + self.end
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            # slices of some megabytes; a longer text is a slice of its own
+            step = max(1, min(len(texts) - at, 2048, (SLICE_BYTES * (len(texts) - at)) // (texts[at:].nbytes + 1)))
+            out += self._slice(texts[at : at + step])
+            at += step
         return out
 
-
-_BLANKS = {9: " ", 10: " ", 13: " "}
+    def _slice(self, texts: pa.Array) -> list[bytes]:
+        whole = [n for n, x in enumerate(pc.match_substring(texts, "<|").to_pylist()) if x or not self.by_chunk]
+        instead = dict(zip(whole, self._bytes([texts[n].as_py() for n in whole])))
+        if len(whole) == len(texts):
+            return [instead[n] + self.end for n in whole]
+        for blank in "\t\n\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        chunks = pc.split_pattern(texts, " ")
+        coded = chunks.flatten().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary.to_pylist()
+        self._learn(set(distinct))
+        values = [self.young[c] for c in distinct]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.id_bytes
+        flat = np.frombuffer(b"".join(values), self.kind)
+        starts = np.cumsum(sizes) - sizes
+        # every chunk's ids, one chunk after the other
+        each = sizes[index]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(starts[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()] * self.id_bytes
+        return [(instead[n] if n in instead else ids[a:b]) + self.end for n, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()))]
+
+
+SLICE_BYTES = 8_000_000
 _encoders: dict[int, Encoder] = {}
 
 
@@ -298,10 +340,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, by_chunk: bool =
                 stream = fs.open_output_stream(f"{top}/{name}")
                 writer = Writer(stream, encoder.id_bytes)
             ids = batch.column(0).to_pylist()
-            for k in range(0, batch.num_rows, 512):
-                values = encoder.encode(batch.column(1).slice(k, 512).to_pylist())
-                for doc, value in zip(ids[k : k + 512], values):
-                    writer.add(key_of(doc), value)
+            for doc, value in zip(ids, encoder.encode(batch.column(1))):
+                writer.add(key_of(doc), value)
         if name is not None:
             writer.close()
             stream.close()
