@@ -131,7 +131,7 @@ def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_multiqc(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Artifacts for MultiQC: those with an id, a plot type and data; one row per file."""
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
     pick = lambda k: F.get_json_object("json", f"$.{k}")
     rows = raw.select("path", pick("id").alias("id"), pick("plot_type").alias("plot_type"), pick("section_name").alias("section_name"), F.from_json(pick("data"), "map<string,map<string,string>>").alias("data"))
     return rows.where("id is not null and plot_type is not null and data is not null")
