@@ -11,6 +11,9 @@ Groups above ``max_bucket`` fingerprints take another exact way that gathers not
 fingerprint stands for the 65 values at distance 0 or 1, and two fingerprints share one of these
 exactly if they differ in 2 bits or fewer, so a minimum per value (combined map-side) links them.
 
+``keep_one`` asks for similarity instead: 256 bits over five-word shingles, candidates by random
+choices of bits, and the same bit-sliced comparison within the radius that stands for 0.8.
+
 Links inside a group are reduced to a spanning star before they leave the task; components come
 from alternating large-star and small-star steps over tables in the shared folder.
 
@@ -22,6 +25,8 @@ as a component's name; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -70,7 +75,10 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def bit_sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (query, candidate), query > candidate, within ``radius`` inside each group.
 
-    values: uint64, group after group; starts: first index of each group, with the end last."""
+    values: uint64, group after group, in rows of several for longer fingerprints; starts: first
+    index of each group, with the end last."""
+    values = values.reshape(len(values), -1)
+    width = 64 * values.shape[1]
     sizes = np.diff(starts)
     blocks = -(-sizes // 64)
     first = np.concatenate([[0], np.cumsum(blocks)])
@@ -78,11 +86,11 @@ def bit_sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIU
     group = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(values)) - starts[group]
     block, lane = first[group] + place // 64, (place % 64).astype(np.uint64)
-    planes = np.zeros((64, int(first[-1])), np.uint64)
-    for b in range(64):
-        np.bitwise_or.at(planes[b], block, ((values >> np.uint64(b)) & _ONE) << lane)
-    valid = np.zeros(int(first[-1]), np.uint64)
-    np.bitwise_or.at(valid, block, _ONE << lane)
+    planes = np.zeros((width, int(first[-1])), np.uint64)
+    edge = np.flatnonzero(np.diff(block, prepend=-1))
+    for b in range(width):
+        planes[b] = np.bitwise_or.reduceat(((values[:, b // 64] >> np.uint64(b % 64)) & _ONE) << lane, edge)
+    valid = np.bitwise_or.reduceat(_ONE << lane, edge)
     # units of work: a query against each block of its group up to its own
     per = place // 64 + 1
     query = np.repeat(np.arange(len(values)), per)
@@ -94,12 +102,12 @@ def bit_sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIU
         live = valid[c] & np.where(c == block[q], (_ONE << lane[q]) - _ONE, ~np.uint64(0))
         levels = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]
         over = ~live
-        for b in range(64):
-            carry = planes[b][c] ^ (np.uint64(0) - ((values[q] >> np.uint64(b)) & _ONE))
+        for b in range(width):
+            carry = planes[b][c] ^ (np.uint64(0) - ((values[q, b // 64] >> np.uint64(b % 64)) & _ONE))
             for n, level in enumerate(levels):
                 levels[n], carry = level ^ carry, level & carry
             over |= carry
-            if b % 8 == 7 or b == 63:
+            if b % 8 == 7:
                 far = over | _above(levels, radius)
                 on = far != ~np.uint64(0)
                 if not on.all():  # the others' blocks are abandoned
@@ -153,46 +161,57 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, max_bucket: int = 512) -> DataFrame:
-    """Edges (u, v), u > v as longs, that connect exactly the fingerprints ``fp`` of ``distinct``
-    which chains of distances up to RADIUS connect."""
-    keyed = distinct.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits")) for k, mask in enumerate(_masks(RADIUS + 1))))).alias("b")
-    ).select("fp", "b.m", "b.bits")
-    sizes = materialize(keyed.groupBy("m", "bits").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
-    members = keyed.join(sizes, ["m", "bits"])
+def _linker(radius: int, lanes: int):
+    """Reads rows (fp, m, bits) sorted by bucket and gives each bucket's links as a star (u, v)."""
+
+    def flush(fp, m, bits):
+        cut = np.flatnonzero((m[1:] != m[:-1]) | (bits[1:] != bits[:-1])) + 1
+        values = np.frombuffer(b"".join(fp), np.uint64).reshape(-1, lanes) if lanes > 1 else fp.view(np.uint64)
+        root = roots(len(fp), *bit_sliced_links(values, np.concatenate([[0], cut, [len(fp)]]), radius))
+        moved = np.flatnonzero(root != np.arange(len(fp)))
+        if lanes > 1:
+            pairs = [(max(fp[a], fp[b]), min(fp[a], fp[b])) for a, b in zip(moved, root[moved])]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["u", "v"])
+        u, v = fp[moved], fp[root[moved]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     def run(batches):
-        def flush(fp, m, bits):
-            cut = np.flatnonzero((m[1:] != m[:-1]) | (bits[1:] != bits[:-1])) + 1
-            starts = np.concatenate([[0], cut, [len(fp)]])
-            a, b = bit_sliced_links(fp.view(np.uint64), starts)
-            root = roots(len(fp), a, b)
-            moved = np.flatnonzero(root != np.arange(len(fp)))
-            u, v = fp[moved], fp[root[moved]]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-        held: list[np.ndarray] | None = None
+        held = None
         for batch in batches:
-            got = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+            if not batch.num_rows:
+                continue
+            got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
             if len(held[0]) < 1 << 16:
                 continue
             fp, m, bits = held
             # the last bucket may go on in the next batch
-            end = int(np.flatnonzero((m != m[-1]) | (bits != bits[-1]))[-1]) + 1 if ((m != m[-1]) | (bits != bits[-1])).any() else 0
-            if end:
+            before = np.flatnonzero((m != m[-1]) | (bits != bits[-1]))
+            if len(before):
+                end = int(before[-1]) + 1
                 yield flush(fp[:end], m[:end], bits[:end])
                 held = [x[end:] for x in held]
         if held is not None and len(held[0]):
             yield flush(*held)
 
+    return run
+
+
+def links(distinct: DataFrame, max_bucket: int = 512) -> DataFrame:
+    """Edges (u, v), u > v as longs, that connect exactly the fingerprints ``fp`` of ``distinct``
+    which chains of distances up to RADIUS connect."""
+    keyed = distinct.select(
+        "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits")) for k, mask in enumerate(_masks(RADIUS + 1))))).alias("b")
+    ).select("fp", "b.m", "b.bits")
+    sizes = materialize(keyed.groupBy("m", "bits").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+    members = keyed.join(sizes, ["m", "bits"])
+
     sliced = (
         members.where(F.col("n") <= max_bucket)
         .select("fp", "m", "bits")
         .repartition("m", "bits")
         .sortWithinPartitions("m", "bits", "fp")
-        .mapInArrow(run, "u long, v long")
+        .mapInArrow(_linker(RADIUS, 1), "u long, v long")
     )
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << b)) for b in range(64)))
     ball = members.where(F.col("n") > max_bucket).select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
@@ -201,6 +220,78 @@ def links(distinct: DataFrame, max_bucket: int = 512) -> DataFrame:
     return sliced.unionByName(dense).distinct()
 
 
+#: Lanes of 64 bits of the fingerprints that stand for similarity.
+LANES = 4
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_STEPS = np.array([(lane + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for lane in range(LANES)], np.uint64)
+
+
+def wide_fingerprint(data: bytes, width: int = 5) -> bytes:
+    """256 SimHash bits over the distinct word shingles of one text, from four mixes of XXH64."""
+    words = data.lower().split()
+    if not words:
+        return bytes(8 * LANES)
+    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width))))
+    h = np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64))
+    total = np.zeros(64 * LANES, np.int64)
+    for k in range(0, len(h), 255):  # so many ones fit a byte
+        part = np.empty((len(h[k : k + 255]), LANES), np.uint64)
+        for lane in range(LANES):
+            z = h[k : k + 255] + _STEPS[lane]
+            z = (z ^ z >> np.uint64(30)) * _M1
+            z = (z ^ z >> np.uint64(27)) * _M2
+            part[:, lane] = z ^ z >> np.uint64(31)
+        total += np.add.reduce(np.unpackbits(part.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits between sets of this Jaccard similarity and one size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_links(distinct: DataFrame, similarity: float = 0.8, recall: float = 0.95, max_bucket: int = 4096) -> DataFrame:
+    """Edges (u, v) between wide fingerprints ``fp`` whose bits differ by no more than at
+    ``similarity``. Candidates share one of many random choices of bits: as many bits as keep
+    buckets small for the count of fingerprints, and as many choices as meet ``recall`` for a pair
+    at ``similarity``. Larger buckets are dealt again by eight further choices of bits."""
+    n = distinct.count()
+    share = differing_share(similarity)
+    bits = max(12, math.ceil(math.log2(max(n, 1) / 16)))
+    choices = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
+    pick = np.random.RandomState(7)
+    chosen = [pick.choice(64 * LANES, bits, replace=False) for _ in range(choices)]
+
+    def keys(chosen, per_row):
+        weights = np.int64(1) << np.arange(max(map(len, chosen)), dtype=np.int64)
+
+        def run(batches):
+            for batch in batches:
+                fps = batch.column(0)
+                raw = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, 8 * LANES)
+                flat = np.unpackbits(raw, axis=1, bitorder="little")
+                for number, places in enumerate(chosen):
+                    value = flat[:, places].astype(np.int64) @ weights[: len(places)]
+                    m = np.full(len(raw), number, np.int64)
+                    if per_row:  # a part of an old bucket is a bucket of its own
+                        m = (batch.column(1).to_numpy() * 31 + batch.column(2).to_numpy()) * 8 + number
+                    yield pa.RecordBatch.from_arrays([fps, pa.array(m), pa.array(value)], names=["fp", "m", "bits"])
+
+        return run
+
+    schema = "fp binary, m long, bits long"
+    keyed = distinct.select("fp").mapInArrow(keys(chosen, False), schema)
+    for _ in range(12):
+        hot = materialize(keyed.groupBy("m", "bits").count().where(F.col("count") > max_bucket).select("m", "bits"), "simhash-hot")
+        if hot.isEmpty():
+            break
+        further = [pick.choice(64 * LANES, 8, replace=False) for _ in range(8)]
+        again = keyed.join(hot, ["m", "bits"], "left_semi").select("fp", "m", "bits").mapInArrow(keys(further, True), schema)
+        keyed = materialize(keyed.join(hot, ["m", "bits"], "left_anti").select("fp", "m", "bits").unionByName(again), "simhash-keyed")
+    radius = round(64 * LANES * share)
+    return keyed.repartition("m", "bits").sortWithinPartitions("m", "bits", "fp").mapInArrow(_linker(radius, LANES), "u binary, v binary").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of ``edges`` (u, v): root is the least node of its component."""
     edges = materialize(edges.select("u", "v").where("u != v").distinct(), "simhash-edges")
@@ -222,10 +313,10 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(ends.select(F.col("root").alias("id"), "root").distinct())
 
 
-def _classes(fps: DataFrame, max_bucket: int) -> DataFrame:
-    """fp, component_id (least doc_id of the component) from rows (doc_id, fp)."""
+def _classes(fps: DataFrame, search) -> DataFrame:
+    """fp, root, component_id (least doc_id of the component) from rows (doc_id, fp)."""
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    comp = materialize(components(links(distinct.select("fp"), max_bucket)), "simhash-components")
+    comp = materialize(components(search(distinct.select("fp"))), "simhash-components")
     named = distinct.join(comp, distinct["fp"] == comp["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return named.join(least, "root").select("fp", "root", "component_id")
@@ -234,15 +325,24 @@ def _classes(fps: DataFrame, max_bucket: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, max_bucket: int = 512) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     fps = materialize(fingerprints(docs.select("doc_id", "text"), width).select("doc.doc_id", "fp"), "simhash-fingerprints")
-    return fps.join(_classes(fps, max_bucket), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(_classes(fps, lambda d: links(d, max_bucket)), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, max_bucket: int = 512) -> DataFrame:
-    """One document of each component, the one with the least doc_id (a null doc_id last), with
-    all its columns; of rows that repeat this doc_id the one with the least text digest, once."""
-    fps = fingerprints(docs.select("doc_id", "text"), width).select("doc.doc_id", digest(F.col("doc.text")).alias("digest"), "fp")
-    fps = materialize(fps, "simhash-fingerprints")
-    rows = fps.join(_classes(fps, max_bucket), "fp")
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies - texts whose distinct ``width``-word shingles are
+    alike to ``similarity`` by their SimHash bits, and what chains of such texts connect: the one
+    with the least doc_id (a null doc_id last), with all its columns; of rows that repeat this
+    doc_id the one with the least text digest, once."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            fp = pa.array([wide_fingerprint(x or b"", width) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), fp], names=["doc_id", "digest", "fp"])
+
+    slim = docs.select("doc_id", digest(F.col("text")).alias("digest"), "text")
+    fps = materialize(slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, fp binary"), "simhash-fingerprints")
+    rows = fps.join(_classes(fps, lambda d: similar_links(d, similarity)), "fp")
     same = rows.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("m"))
     first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "m")).alias("k"))
     return take_rows(docs, first.select("k.doc_id", "k.digest", "k.m", F.lit(1).cast("long").alias("copies")))

@@ -80,6 +80,31 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 11, 12]
 
 
+def test_near_copies_go_and_unlike_texts_stay(spark):
+    r = random.Random(5)
+
+    def edited(words, n):
+        words = list(words)
+        for k in r.sample(range(len(words)), n):
+            words[k] = f"new{r.randrange(10**6)}"
+        return words
+
+    rows, near = [], 0
+    for n in range(150):
+        base = [f"w{r.randrange(10**5)}" for _ in range(300)]
+        rows.append(row(10 * n, " ".join(base)))
+        rows.append(row(10 * n + 1, " ".join(edited(base, 3))))  # shingles alike to 0.9
+        rows.append(row(10 * n + 2, " ".join(edited(base, 40))))  # to about 0.35
+    for most in (4096, 20):
+        fps = spark.createDataFrame([(bytearray(simhash.wide_fingerprint(x[1].encode())),) for x in rows], "fp binary").distinct()
+        links = simhash.similar_links(fps, max_bucket=most).collect()
+        assert len(links) >= 0.9 * 150
+    kept = {x["doc_id"] for x in simhash.keep_one(documents(spark, rows)).collect()}
+    assert all(10 * n in kept and 10 * n + 2 in kept for n in range(150))
+    near = sum(10 * n + 1 in kept for n in range(150))
+    assert near <= 8
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(empty(spark)).count() == 0
