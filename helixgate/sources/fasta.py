@@ -2,8 +2,9 @@
 
 Files are read as text cut at ``\\n>``, which Spark splits, so a plain file of any size is read in
 parallel; a gzip file (by extension, several members allowed) is one task. A chunk is a record:
-its first line the header, the rest the body. Chunks are numbered in file order by (block start,
-order within the block).
+its first line the header, the rest the body. A chunk's number in its file is its number in its
+split plus the chunks of the splits before, so nothing sorts a file and no sequence is shuffled:
+the driver sees one row per split and one per file.
 
 ``read_fasta`` gives (records, problems): problems holds the first structural error of each
 file, in file order as a line reader would meet it, and ``records`` only files without one.
@@ -58,52 +59,94 @@ def _tails(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def read_fasta(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
-    """(records, problems) of FASTA files; problems: path, sample_id, line, message."""
+def _head(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(text, r"^[^\n]*", 0), _TRIM, "")
+
+
+def _body(text: Column) -> Column:
+    rest = F.substring(text, F.length(F.regexp_extract(text, r"^[^\n]*", 0)) + 2, F.length(text))
+    return F.regexp_replace(rest, r"\r*\n|\r+$", "")
+
+
+def _ident(header: Column) -> Column:
+    return F.regexp_extract(header, r"(?U)^(\S+)", 1)
+
+
+def read_fasta(spark: SparkSession, paths: list[str] | str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, problems) of FASTA files; problems: path, sample_id, line, message. ``lines`` fills
+    header_line, which takes a window over the line counts of each split."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no input files")
     raw = _chunks(spark, paths)
-    order = W.partitionBy("ordinal").orderBy("block", "nth")
-    newlines = F.length("chunk") - F.length(F.translate("chunk", "\n", ""))
+    newlines = F.length("chunk") - F.length(F.translate("chunk", "\n", "")) + 1
+    splits: dict[int, list] = {}
+    for r in raw.groupBy("ordinal", "block").agg(F.min("nth").alias("base"), F.count("*").alias("n"), F.sum(newlines).alias("lines")).collect():
+        splits.setdefault(r["ordinal"], []).append(r)
+    known = []
+    for ordinal, rows in splits.items():
+        chunks = line = 0
+        for r in sorted(rows, key=lambda r: r["block"]):
+            known.append((ordinal, r["block"], r["base"], chunks, line))
+            chunks, line = chunks + r["n"], line + r["lines"]
+    # a local table of known size: broadcast where it is small enough
+    offsets = spark.createDataFrame(known, "ordinal int, block long, base long, chunks_before long, lines_before long")
     cut = (
-        raw.withColumn("k", F.row_number().over(order) - 1)
-        .withColumn("line", 1 + F.coalesce(F.sum(newlines + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("is_first", F.col("k") == 0)
-        .withColumn("is_record", ~F.col("is_first") | F.col("chunk").startswith(">"))
-        .withColumn("text", F.when(F.col("is_first") & F.col("is_record"), F.expr("substring(chunk, 2)")).otherwise(F.col("chunk")))
+        raw.join(offsets, ["ordinal", "block"])
+        .withColumn("k", F.col("chunks_before") + F.col("nth") - F.col("base"))
+        .withColumn("is_record", (F.col("k") > 0) | F.col("chunk").startswith(">"))
+        .withColumn("text", F.when((F.col("k") == 0) & F.col("is_record"), F.substring("chunk", F.lit(2), F.length("chunk"))).otherwise(F.col("chunk")))
     )
-    head = F.regexp_replace(F.regexp_extract("text", r"^[^\n]*", 0), _TRIM, "")
-    body = F.regexp_replace(F.expr("substring(text, length(regexp_extract(text, '^[^\\\\n]*', 0)) + 2)"), r"\r*\n|\r+$", "")
-    rec = cut.withColumns({"header": F.when(F.col("is_record"), head), "sequence": F.when(F.col("is_record"), body)})
-    # a preamble before the first header may hold nothing but line ends
+    # where a reader would stop: an empty record shows at the next header, before that is judged
     stray = ~F.col("is_record") & (F.regexp_replace("chunk", r"[\r\n]", "") != "")
-    first_stray = F.col("line") + F.length(F.regexp_extract("chunk", r"^(?:\r*\n)*", 0)) - F.length(F.regexp_replace(F.regexp_extract("chunk", r"^(?:\r*\n)*", 0), "\n", ""))
-    ident = F.regexp_extract("header", r"(?U)^(\S+)", 1)
+    at = lambda k, rank, kind: F.struct(k.alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "block", "nth", _ident(_head(F.col("text"))).alias("id"), F.regexp_extract("chunk", r"^(?:\r*\n)*", 0).alias("blank"))
     problem = (
-        F.when(stray, F.struct(first_stray.cast("long").alias("at"), F.lit(1).alias("rank"), F.concat(F.lit("sequence data before the first header, line "), first_stray.cast("string")).alias("message")))
-        .when(F.col("is_record") & (F.col("header") == ""), F.struct(F.col("line").cast("long").alias("at"), F.lit(1).alias("rank"), F.concat(F.lit("empty header, line "), F.col("line").cast("string")).alias("message")))
-        .when(
-            F.col("is_record") & (F.col("sequence") == ""),
-            # noticed where the next header or the end of the file stands, before that header itself is judged
-            F.struct((F.col("line") + newlines + 1).cast("long").alias("at"), F.lit(0).alias("rank"), F.concat(F.lit("record without sequence: "), ident, F.lit(", line "), F.col("line").cast("string")).alias("message")),
-        )
+        F.when(stray, at(F.col("k"), 1, "stray"))
+        .when(F.col("is_record") & (_head(F.col("text")) == ""), at(F.col("k"), 1, "header"))
+        .when(F.col("is_record") & (_body(F.col("text")) == ""), at(F.col("k") + 1, 0, "body"))
     )
-    tails = _tails(spark, paths)
-    worst = rec.groupBy("ordinal").agg(F.min(problem).alias("p"), F.count_if("is_record").alias("records"), F.max(F.col("line") + newlines).alias("end"))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit(2).alias("rank"), F.lit("no records").alias("message"))
-    bare = F.struct(F.col("end").cast("long").alias("at"), F.lit(1).alias("rank"), F.concat(F.lit("empty header, line "), (F.col("end") + 1).cast("string")).alias("message"))
-    known = spark.createDataFrame([(n, p) for n, p in enumerate(paths)], "ordinal int, path string").join(worst, "ordinal", "left").join(tails, "ordinal", "left")
-    lost = F.coalesce(F.col("bare") & (F.coalesce(F.col("records"), F.lit(0)) >= 0), F.lit(False)) & F.col("p").isNull()
-    found = F.coalesce("p", F.when(lost & (F.col("records") > 0), bare), F.when(F.coalesce(F.col("records"), F.lit(0)) == 0, none))
-    problems = known.withColumn("found", found).where("found is not null").select("ordinal", "path", sample_id(F.col("path")).alias("sample_id"), F.col("found.at").alias("line"), "found.message")
-    nth = F.row_number().over(W.partitionBy("ordinal").orderBy("k")) - 1
-    records = (
-        rec.where("is_record")
-        .join(F.broadcast(problems.select("ordinal")), "ordinal", "left_anti")  # at most one row per input file
-        .select(sample_id(F.col("path")).alias("sample_id"), nth.cast("long").alias("record_idx"), F.col("line").cast("long").alias("header_line"), ident.alias("id"), "header", "sequence")
+    worst = {r["ordinal"]: r for r in cut.groupBy("ordinal").agg(F.min(problem).alias("p"), F.count_if("is_record").alias("records"), F.count_if(~F.col("is_record")).alias("preamble")).collect()}
+    bare = {r["ordinal"]: r["bare"] for r in _tails(spark, paths).collect()}
+    stops = [(n, r["p"]["block"], r["p"]["nth"]) for n, r in worst.items() if r["p"]]
+    before: dict[int, int] = {}
+    if stops:
+        stop = F.broadcast(spark.createDataFrame(stops, "ordinal int, at_block long, at_nth long"))  # at most a row per input
+        earlier = raw.join(stop, "ordinal").where((F.col("block") < F.col("at_block")) | ((F.col("block") == F.col("at_block")) & (F.col("nth") < F.col("at_nth"))))
+        before = {r["ordinal"]: r["n"] for r in earlier.groupBy("ordinal").agg(F.sum(newlines).alias("n")).collect()}
+    found = []
+    for n, path in enumerate(paths):
+        r = worst.get(n)
+        p = r["p"] if r else None
+        line = before.get(n, 0) + 1
+        if p and p["kind"] == "stray":
+            line += p["blank"].count("\n")
+            found.append((path, line, f"sequence data before the first header, line {line}"))
+        elif p:
+            found.append((path, line, f"empty header, line {line}" if p["kind"] == "header" else f"record without sequence: {p['id']}, line {line}"))
+        elif bare.get(n) and r and r["records"]:
+            line = 1 + sum(x["lines"] for x in splits[n])
+            found.append((path, line, f"empty header, line {line}"))
+        elif not r or not r["records"]:
+            found.append((path, 0, "no records"))
+    problems = spark.createDataFrame(found, "path string, line long, message string").select("path", sample_id(F.col("path")).alias("sample_id"), "line", "message")
+    bad = {f[0] for f in found}
+    preamble = [n for n, r in worst.items() if r["preamble"]]
+    good = cut.where(F.col("is_record") & ~F.col("path").isin(*bad)) if bad else cut.where("is_record")
+    header_line = F.lit(None)
+    if lines:
+        run = W.partitionBy("ordinal", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
+        counted = raw.select("ordinal", "block", "nth", newlines.alias("n")).withColumn("sum", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
+        good = good.join(counted, ["ordinal", "block", "nth"])
+        header_line = F.col("lines_before") + F.col("sum") + 1
+    records = good.withColumn("header", _head(F.col("text"))).select(
+        sample_id(F.col("path")).alias("sample_id"),
+        (F.col("k") - F.when(F.col("ordinal").isin(*preamble), 1).otherwise(0) if preamble else F.col("k")).cast("long").alias("record_idx"),
+        header_line.cast("long").alias("header_line"),
+        _ident(F.col("header")).alias("id"),
+        "header",
+        _body(F.col("text")).alias("sequence"),
     )
-    return records, problems.drop("ordinal")
+    return records, problems
 
 
 def from_table(df: DataFrame, sample: Column, order: Column, id_: Column, header: Column, sequence: Column) -> DataFrame:

@@ -13,7 +13,7 @@ def write(tmp_path, name, data):
 
 
 def rows(spark, path):
-    records, problems = read_fasta(spark, path)
+    records, problems = read_fasta(spark, path, lines=True)
     return [tuple(r) for r in records.orderBy("record_idx").collect()], [(r["line"], r["message"]) for r in problems.collect()]
 
 
@@ -42,6 +42,7 @@ def test_structural_errors(spark, tmp_path, data, line, message):
     got, bad = rows(spark, write(tmp_path, "x.fa", data))
     assert got == [] and len(bad) == 1
     assert message in bad[0][1]
+    assert f"line {bad[0][0]}" in bad[0][1] or bad[0][0] == 0
 
 
 def test_gzip_of_several_members_equals_plain(spark, tmp_path):
