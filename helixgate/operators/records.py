@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import sequence as S
+from ..store import store
 
 
 @dataclass(frozen=True)
@@ -163,8 +164,9 @@ def with_outliers(rows: DataFrame, p: Profile = Profile(), counts: DataFrame | N
 
 
 def flagged(records: DataFrame, p: Profile = Profile()) -> DataFrame:
-    """Features with all flags. Compute once and keep (written or cached) when used repeatedly."""
-    return with_outliers(with_duplicates(features(records)), p)
+    """Features with all flags. Texts are read once: features, and then flagged rows, are stored as
+    narrow tables, on which the several passes of flags, statistics and rules are cheap."""
+    return store(with_outliers(with_duplicates(store(features(records), "features")), p), "flagged")
 
 
 def summary(rows: DataFrame, p: Profile = Profile()) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.naming import utc_seconds
 from ..operators import records as R
 from ..sources.fasta import file_fingerprints, read_fasta
+from ..store import store
 from . import cohort, policy, rules
 
 SCHEMA_VERSION = "0.5.0"
@@ -97,40 +98,37 @@ def _finding(f, evidence: list[dict]) -> dict:
 def reports(records: DataFrame, config: Config = Config(), points: int = 5000) -> dict[str, dict]:
     """sample_id -> report, from records of any number of samples in one set of jobs."""
     p = config.profile
-    rows = R.flagged(records, p).persist()
-    try:
-        summary = R.summary(rows, p).persist()
-        found = rules.findings(summary, p)
-        verdicts = {r["sample_id"]: r for r in policy.verdicts(summary, found, config.rules).collect()}
-        ready, tools, hints, listed, shown, bins, plot = (defaultdict(list) for _ in range(7))
-        for r in policy.readiness(summary, found, config.rules).collect():
-            ready[r["sample_id"]].append(r)
-        for r in policy.recommended_tools(summary, found).collect():
-            tools[r["sample_id"]] = list(r["tools"])
-        for r in policy.routing_hints(found).collect():
-            hints[r["sample_id"]].append(r)
-        for r in found.collect():
-            listed[r["sample_id"]].append(r)
-        for r in rules.evidence(rows, found, p).join(rows.select("sample_id", "record_idx", "unsafe_id", "long_header", "reserved_header_chars", "gap_run_100_count"), ["sample_id", "record_idx"]).collect():
-            shown[r["sample_id"], r["finding_id"]].append(r)
-        for r in R.length_histogram(rows).collect():
-            bins[r["sample_id"]].append(r)
-        for r in R.gc_length_points(rows, p, points).collect():
-            plot[r["sample_id"]].append(r)
-        out = {}
-        for s in summary.collect():
-            name = s["sample_id"]
-            v = verdicts[name]
-            values = {k: s["gap_pattern_sequence_count" if k.startswith("repeated") else k] for k in SUMMARY}
-            findings = [_finding(f, [_evidence_record(e, f["finding_id"]) for e in sorted(shown[name, f["finding_id"]], key=lambda e: e["rank"])]) for f in sorted(listed[name], key=lambda f: f["position"])]
-            plots = {
-                "length_histogram": [{k: b[k] for k in ("start", "end", "record_count", "total_length")} for b in sorted(bins[name], key=lambda b: b["bin"])],
-                "gc_length": [{"id": x["id"], "length": x["length"], "gc_percent": x["gc_percent"], "flags": list(x["flags"])} for x in sorted(plot[name], key=lambda x: x["rank"])],
-            }
-            out[name] = _report(name, config, v, sorted(ready[name], key=lambda r: r["ordinal"]), tools[name], sorted(hints[name], key=lambda h: h["first_position"]), values, plots, findings)
-        return out
-    finally:
-        rows.unpersist()
+    rows = R.flagged(records, p)
+    summary = store(R.summary(rows, p), "summary")
+    found = store(rules.findings(summary, p), "findings")
+    verdicts = {r["sample_id"]: r for r in policy.verdicts(summary, found, config.rules).collect()}
+    ready, tools, hints, listed, shown, bins, plot = (defaultdict(list) for _ in range(7))
+    for r in policy.readiness(summary, found, config.rules).collect():
+        ready[r["sample_id"]].append(r)
+    for r in policy.recommended_tools(summary, found).collect():
+        tools[r["sample_id"]] = list(r["tools"])
+    for r in policy.routing_hints(found).collect():
+        hints[r["sample_id"]].append(r)
+    for r in found.collect():
+        listed[r["sample_id"]].append(r)
+    for r in rules.evidence(rows, found, p).join(rows.select("sample_id", "record_idx", "unsafe_id", "long_header", "reserved_header_chars", "gap_run_100_count"), ["sample_id", "record_idx"]).collect():
+        shown[r["sample_id"], r["finding_id"]].append(r)
+    for r in R.length_histogram(rows).collect():
+        bins[r["sample_id"]].append(r)
+    for r in R.gc_length_points(rows, p, points).collect():
+        plot[r["sample_id"]].append(r)
+    out = {}
+    for s in summary.collect():
+        name = s["sample_id"]
+        v = verdicts[name]
+        values = {k: s["gap_pattern_sequence_count" if k.startswith("repeated") else k] for k in SUMMARY}
+        findings = [_finding(f, [_evidence_record(e, f["finding_id"]) for e in sorted(shown[name, f["finding_id"]], key=lambda e: e["rank"])]) for f in sorted(listed[name], key=lambda f: f["position"])]
+        plots = {
+            "length_histogram": [{k: b[k] for k in ("start", "end", "record_count", "total_length")} for b in sorted(bins[name], key=lambda b: b["bin"])],
+            "gc_length": [{"id": x["id"], "length": x["length"], "gc_percent": x["gc_percent"], "flags": list(x["flags"])} for x in sorted(plot[name], key=lambda x: x["rank"])],
+        }
+        out[name] = _report(name, config, v, sorted(ready[name], key=lambda r: r["ordinal"]), tools[name], sorted(hints[name], key=lambda h: h["first_position"]), values, plots, findings)
+    return out
 
 
 def _report(name, config, v, ready, tools, hints, values, plots, findings) -> dict:

@@ -16,6 +16,7 @@ from .plans import cohort as C
 from .plans import policy as P
 from .plans import rules as Q
 from .sources.fasta import from_table
+from .store import store
 
 PROFILE = R.Profile()
 SIZED = R.Profile(expected_size=60_000)
@@ -47,7 +48,7 @@ def _flagged(spark, sf_dir, view="iupac", p=PROFILE):
 
 
 def _found(spark, sf_dir, p=PROFILE):
-    s = R.summary(_flagged(spark, sf_dir, p=p), p)
+    s = store(R.summary(_flagged(spark, sf_dir, p=p), p), "summary")
     return s, Q.findings(s, p)
 
 
