@@ -36,7 +36,7 @@ from .shared import read
 
 ALPHA = 0.4
 ORDER = 3
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 12_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: stands for "any word": its count is the number of words
 _TOTAL = np.uint64(0)
@@ -58,13 +58,15 @@ class Grams:
     """The n-grams of a batch of texts: per order the hash of each word's n-gram and its validity."""
 
     def __init__(self, texts: list[bytes], order: int):
-        split = [t.lower().split() for t in texts]
-        self.sizes = np.array([len(w) for w in split], np.int64)
-        n = int(self.sizes.sum())
         digest = xxhash.xxh3_64_intdigest
-        word = np.fromiter((digest(w) for ws in split for w in ws), np.uint64, n)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        # text by text, so that a batch's words are never held as objects all at once
+        parts = [np.fromiter(map(digest, t.lower().split()), np.uint64) for t in texts]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        word = np.concatenate([np.zeros(0, np.uint64), *parts])
+        del parts
+        n = len(word)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+        place = (np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
         self.order = order
         self.place = place
         self.hashes, self.valid = [word | np.uint64(1)], [np.ones(n, bool)]
@@ -94,7 +96,9 @@ class Grams:
             pair = at * len(self.sizes) + self.doc[v]
             _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
             out = np.zeros(n, np.int64)
+            del pair
             out[v] = totals[at] - own[back]
+            del at, back
             others.append(out)
         words = (totals[0] - self.sizes)[self.doc].astype(float)
         score = -np.log10(words + 1)  # the word alone, unseen
