@@ -151,15 +151,16 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, batch_chars: int = BATCH
         first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
         sums = np.add.reduceat(np.concatenate(counts)[at], first)
         u = u[first]
-        totals = [_pack(sums[np.searchsorted(u, h)].astype(np.uint64)) for h in hashes]
+        # what the other batches have: nothing for most n-grams, which packs well
+        totals = [_pack((sums[np.searchsorted(u, h)] - c).astype(np.uint64)) for h, c in zip(hashes, counts)]
         return pa.table({"batch": table.column("batch"), "range": table.column("range"), "totals": pa.array(totals, pa.binary())})
 
     def score(key, table, answers):
         grams = Grams(_texts(table), order)
-        distinct, _ = grams.counted()
+        distinct, counts = grams.counted()
         by_range = sorted(zip(answers.column("range").to_pylist(), answers.column("totals").to_pylist()))
         got = [_unpack(x, np.uint64).astype(np.int64) for _, x in by_range]
-        totals = np.concatenate([got[0][:1], *(x[1:] for x in got)]) if got else np.zeros(1, np.int64)
+        totals = counts + np.concatenate([got[0][:1], *(x[1:] for x in got)])
         sums = grams.scores(distinct, totals)
         n = grams.sizes
         mean = pa.array(np.where(n > 0, sums / np.maximum(n, 1), 0.0), mask=n == 0)
