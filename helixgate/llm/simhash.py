@@ -11,8 +11,9 @@ Groups above ``max_bucket`` fingerprints take another exact way that gathers not
 fingerprint stands for the 65 values at distance 0 or 1, and two fingerprints share one of these
 exactly if they differ in 2 bits or fewer, so a minimum per value (combined map-side) links them.
 
-``keep_one`` asks for similarity instead: 256 bits over five-word shingles, candidates by random
-choices of bits, and the same bit-sliced comparison within the radius that stands for 0.8.
+``keep_one`` asks for the Jaccard similarity of sets of five-word shingles instead, which no
+distance of SimHash bits stands for exactly: candidates share a whole part of their sets, of more
+parts than alike sets have differences, and every link is verified on the whole sets.
 
 Links inside a group are reduced to a spanning star before they leave the task; components come
 from alternating large-star and small-star steps over tables in the shared folder.
@@ -25,7 +26,9 @@ as a component's name; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import bisect
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -161,17 +164,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linker(radius: int, lanes: int):
+def _linker(radius: int):
     """Reads rows (fp, m, bits) sorted by bucket and gives each bucket's links as a star (u, v)."""
 
     def flush(fp, m, bits):
         cut = np.flatnonzero((m[1:] != m[:-1]) | (bits[1:] != bits[:-1])) + 1
-        values = np.frombuffer(b"".join(fp), np.uint64).reshape(-1, lanes) if lanes > 1 else fp.view(np.uint64)
-        root = roots(len(fp), *bit_sliced_links(values, np.concatenate([[0], cut, [len(fp)]]), radius))
+        root = roots(len(fp), *bit_sliced_links(fp.view(np.uint64), np.concatenate([[0], cut, [len(fp)]]), radius))
         moved = np.flatnonzero(root != np.arange(len(fp)))
-        if lanes > 1:
-            pairs = [(max(fp[a], fp[b]), min(fp[a], fp[b])) for a, b in zip(moved, root[moved])]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["u", "v"])
         u, v = fp[moved], fp[root[moved]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
@@ -211,7 +210,7 @@ def links(distinct: DataFrame, max_bucket: int = 512) -> DataFrame:
         .select("fp", "m", "bits")
         .repartition("m", "bits")
         .sortWithinPartitions("m", "bits", "fp")
-        .mapInArrow(_linker(RADIUS, 1), "u long, v long")
+        .mapInArrow(_linker(RADIUS), "u long, v long")
     )
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << b)) for b in range(64)))
     ball = members.where(F.col("n") > max_bucket).select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
@@ -220,76 +219,205 @@ def links(distinct: DataFrame, max_bucket: int = 512) -> DataFrame:
     return sliced.unionByName(dense).distinct()
 
 
-#: Lanes of 64 bits of the fingerprints that stand for similarity.
-LANES = 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_STEPS = np.array([(lane + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for lane in range(LANES)], np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ z >> np.uint64(30)) * _M1
+    z = (z ^ z >> np.uint64(27)) * _M2
+    return z ^ z >> np.uint64(31)
 
 
 def wide_fingerprint(data: bytes, width: int = 5) -> bytes:
-    """256 SimHash bits over the distinct word shingles of one text, from four mixes of XXH64."""
+    """XXH64 values of all distinct word shingles of one text, ascending, 8 bytes each."""
     words = data.lower().split()
     if not words:
-        return bytes(8 * LANES)
+        return b""
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width))))
-    h = np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64))
-    total = np.zeros(64 * LANES, np.int64)
-    for k in range(0, len(h), 255):  # so many ones fit a byte
-        part = np.empty((len(h[k : k + 255]), LANES), np.uint64)
-        for lane in range(LANES):
-            z = h[k : k + 255] + _STEPS[lane]
-            z = (z ^ z >> np.uint64(30)) * _M1
-            z = (z ^ z >> np.uint64(27)) * _M2
-            part[:, lane] = z ^ z >> np.uint64(31)
-        total += np.add.reduce(np.unpackbits(part.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
-
-
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits between sets of this Jaccard similarity and one size."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def similar_links(distinct: DataFrame, similarity: float = 0.8, recall: float = 0.95, max_bucket: int = 4096) -> DataFrame:
-    """Edges (u, v) between wide fingerprints ``fp`` whose bits differ by no more than at
-    ``similarity``. Candidates share one of many random choices of bits: as many bits as keep
-    buckets small for the count of fingerprints, and as many choices as meet ``recall`` for a pair
-    at ``similarity``. Larger buckets are dealt again by eight further choices of bits."""
-    n = distinct.count()
-    share = differing_share(similarity)
-    bits = max(12, math.ceil(math.log2(max(n, 1) / 16)))
-    choices = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
-    pick = np.random.RandomState(7)
-    chosen = [pick.choice(64 * LANES, bits, replace=False) for _ in range(choices)]
-
-    def keys(chosen, per_row):
-        weights = np.int64(1) << np.arange(max(map(len, chosen)), dtype=np.int64)
-
-        def run(batches):
-            for batch in batches:
-                fps = batch.column(0)
-                raw = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, 8 * LANES)
-                flat = np.unpackbits(raw, axis=1, bitorder="little")
-                for number, places in enumerate(chosen):
-                    value = flat[:, places].astype(np.int64) @ weights[: len(places)]
-                    m = np.full(len(raw), number, np.int64)
-                    if per_row:  # a part of an old bucket is a bucket of its own
-                        m = (batch.column(1).to_numpy() * 31 + batch.column(2).to_numpy()) * 8 + number
-                    yield pa.RecordBatch.from_arrays([fps, pa.array(m), pa.array(value)], names=["fp", "m", "bits"])
-
-        return run
-
-    schema = "fp binary, m long, bits long"
-    keyed = distinct.select("fp").mapInArrow(keys(chosen, False), schema)
-    for _ in range(12):
-        hot = materialize(keyed.groupBy("m", "bits").count().where(F.col("count") > max_bucket).select("m", "bits"), "simhash-hot")
-        if hot.isEmpty():
-            break
-        further = [pick.choice(64 * LANES, 8, replace=False) for _ in range(8)]
-        again = keyed.join(hot, ["m", "bits"], "left_semi").select("fp", "m", "bits").mapInArrow(keys(further, True), schema)
-        keyed = materialize(keyed.join(hot, ["m", "bits"], "left_anti").select("fp", "m", "bits").unionByName(again), "simhash-keyed")
-    radius = round(64 * LANES * share)
-    return keyed.repartition("m", "bits").sortWithinPartitions("m", "bits", "fp").mapInArrow(_linker(radius, LANES), "u binary, v binary").distinct()
+    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64)).tobytes()
+
+
+def _ratio(similarity: float) -> tuple[int, int]:
+    f = Fraction(str(similarity))
+    return f.numerator, f.denominator
+
+
+def size_classes(similarity: float, top: int = 1 << 31) -> list[tuple[int, int, int, int]]:
+    """(lo, hi, parts, slack): sets of lo to hi shingles and their alike partners, not smaller,
+    differ in fewer than parts - slack shingles. Classes in which only equal sets are alike have
+    no parts. ``slack`` is about the number of parts that a set of ``lo`` leaves empty."""
+    p, q = _ratio(similarity)
+    out, lo = [], 1
+    while lo <= top:
+        hi = max(lo, lo * q // p)
+        differ = (q - p) * (hi + hi * q // p) // (p + q)
+        slack = 0
+        for _ in range(20 if differ else 0):
+            parts = differ + 1 + slack
+            empty = parts * math.exp(lo * math.log1p(-1 / parts))
+            slack = max(slack, math.ceil(empty + math.sqrt(empty) - 1.3))
+        out.append((lo, hi, differ + 1 + slack if differ else 0, slack))
+        lo = hi + 1
+    return out
+
+
+def part_keys(h: np.ndarray, classes: list, highs: list[int], similarity: float) -> list[np.ndarray]:
+    """Keys of one set of shingle hashes, such that any two sets alike to ``similarity`` share one.
+
+    Hashes are dealt to the parts of a class; a pair differs in fewer shingles than there are
+    parts, so ``slack + 1`` parts at least hold the same shingles in both. A set that leaves no
+    more than ``slack`` parts empty shares a part that is not empty; any other set deals itself
+    again, in further rounds, until one leaves so few: the pair meets in the earlier end of both."""
+    p, q = _ratio(similarity)
+    out = []
+    for c in range(bisect.bisect_left(highs, -(-len(h) * p // q)), bisect.bisect_left(highs, len(h)) + 1):
+        _, _, parts, slack = classes[c]
+        turn = 0
+        while parts:
+            z = _mixed(h + np.uint64((c << 20 | turn + 1) * _STEP % (1 << 64)))
+            part = (z % np.uint64(parts)).astype(np.int64)
+            held = np.bincount(part, minlength=parts) > 0
+            total = np.zeros(parts, np.uint64)
+            np.add.at(total, part, _mixed(z))
+            place = (np.flatnonzero(held) + 1).astype(np.uint64) * np.uint64(_STEP)
+            out.append(_mixed(total[held] ^ place))
+            if parts - held.sum() <= slack:
+                break
+            turn += 1
+    return out
+
+
+def _whole_groups(batches, columns: int, work):
+    """Calls ``work`` with columns of rows sorted by their first, whole groups of it at a time."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        got = [batch.column(k).to_numpy() for k in range(columns)]
+        held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
+        if len(held[0]) < 1 << 16 or held[0][0] == held[0][-1]:
+            continue
+        end = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on in the next batch
+        yield from work(*(x[:end] for x in held))
+        held = [x[end:] for x in held]
+    if held is not None:
+        yield from work(*held)
+
+
+def _bucket_members(keyed: DataFrame) -> DataFrame:
+    """(key, id, size, first) of the buckets with two ids or more; first: the least id."""
+
+    def work(key, ident, size):
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+        key, ident, size = key[new], ident[new], size[new]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.concatenate([start, [len(key)]]))
+        on = np.repeat(n > 1, n)
+        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (key, ident, size, np.repeat(ident[start], n))], names=["key", "id", "size", "first"])
+
+    rows = keyed.repartition("key").sortWithinPartitions("key", "id")
+    return rows.mapInArrow(lambda batches: _whole_groups(batches, 3, work), "key long, id long, size int, first long")
+
+
+def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of rows (key, id, size, root) of one key whose roots differ and whose sizes allow a link."""
+    p, q = _ratio(similarity)
+
+    def work(key, ident, size, root):
+        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        found, n = [], 0
+        for lo, hi in zip(cut, cut[1:]):
+            for k in range(lo + 1, hi):
+                near = (root[lo:k] != root[k]) & (np.minimum(size[lo:k], size[k]) * q >= np.maximum(size[lo:k], size[k]) * p)
+                at = ident[lo:k][near]
+                found.append(np.stack([np.maximum(at, ident[k]), np.minimum(at, ident[k])], axis=1))
+                n += len(at)
+                if n > 1 << 18:
+                    yield flush(found)
+                    found, n = [], 0
+        if n:
+            yield flush(found)
+
+    def flush(found):
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    rows = members.select("key", "id", F.col("size").cast("long").alias("size"), "root").repartition("key").sortWithinPartitions("key", "id")
+    return rows.mapInArrow(lambda batches: _whole_groups(batches, 4, work), "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose whole sets (id, fp) are alike to ``similarity``."""
+    p, q = _ratio(similarity)
+
+    def run(batches):
+        for batch in batches:
+            left, right = (batch.column(k).to_pylist() for k in (2, 3))
+            on = np.zeros(len(left), bool)
+            for n, (a, b) in enumerate(zip(left, right)):
+                both = np.sort(np.frombuffer(a + b, np.uint64), kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                on[n] = common * (p + q) >= p * len(both)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(on)) for k in (0, 1)], names=["u", "v"])
+
+    with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("fp").alias("a")), "u")
+    with_both = with_u.join(sets.select(F.col("id").alias("v"), F.col("fp").alias("b")), "v").select("u", "v", "a", "b")
+    return with_both.mapInArrow(run, "u long, v long")
+
+
+def set_id(fp: str = "fp"):
+    """64 bits that stand for a whole set of shingle hashes."""
+    return F.xxhash64(fp)
+
+
+def similar_links(distinct: DataFrame, similarity: float = 0.8, max_bucket: int = 4096) -> DataFrame:
+    """Edges (u, v), ids of sets ``fp``, that connect exactly the sets which chains of pairs alike
+    to ``similarity`` connect. Candidates share a key of ``part_keys``, which misses no pair at any
+    size of the table; every edge is verified on the whole sets.
+
+    In each bucket the least id is tried against the others first. What is then still in different
+    components is tried pair by pair."""
+    classes = size_classes(similarity)
+    highs = [c[1] for c in classes]
+
+    def keys(batches):
+        seen = set()
+        for batch in batches:
+            rows = [(i, x) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            out, n = [], 0
+            for ident, raw in rows:
+                if ident in seen:
+                    continue
+                seen.add(ident)
+                h = np.frombuffer(raw, np.uint64)
+                for k in part_keys(h, classes, highs, similarity) if len(h) else ():
+                    out.append((k, ident, len(h)))
+                    n += len(k)
+                if n > 1 << 16:
+                    yield packed(out)
+                    out, n = [], 0
+            if n:
+                yield packed(out)
+
+    def packed(out):
+        times = [len(k) for k, _, _ in out]
+        key = np.concatenate([k for k, _, _ in out]).view(np.int64)
+        ident, size = (np.repeat(np.array([x[c] for x in out], kind), times) for c, kind in ((1, np.int64), (2, np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), pa.array(size)], names=["key", "id", "size"])
+
+    sets = distinct.select(set_id().alias("id"), "fp")
+    members = materialize(_bucket_members(sets.mapInArrow(keys, "key long, id long, size int")), "simhash-members")
+    taking = members.select("id").distinct()
+    sets = materialize(sets.join(taking, "id", "left_semi").dropDuplicates(["id"]), "simhash-sets")
+    stars = members.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+    edges = materialize(_verified(stars, sets, similarity), "simhash-stars")
+    comp = components(edges).withColumnRenamed("root", "label")
+    named = materialize(members.join(comp, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("root")), "simhash-named")
+    mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    pairs = _open_pairs(named.join(mixed, "key", "left_semi"), similarity).join(stars, ["u", "v"], "left_anti")
+    return edges.unionByName(_verified(pairs, sets, similarity))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,10 +457,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bucket: int = 512) -> D
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near copies - texts whose distinct ``width``-word shingles are
-    alike to ``similarity`` by their SimHash bits, and what chains of such texts connect: the one
-    with the least doc_id (a null doc_id last), with all its columns; of rows that repeat this
-    doc_id the one with the least text digest, once."""
+    """One document of each group of near copies - texts whose sets of distinct ``width``-word
+    shingles have a Jaccard similarity of ``similarity`` or more, and what chains of such texts
+    connect: the one with the least doc_id (a null doc_id last), with all its columns; of rows that
+    repeat this doc_id the one with the least text digest, once."""
 
     def run(batches):
         for batch in batches:
@@ -341,8 +469,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), fp], names=["doc_id", "digest", "fp"])
 
     slim = docs.select("doc_id", digest(F.col("text")).alias("digest"), "text")
-    fps = materialize(slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, fp binary"), "simhash-fingerprints")
-    rows = fps.join(_classes(fps, lambda d: similar_links(d, similarity)), "fp")
+    sets = materialize(slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, fp binary"), "simhash-shingles")
+    fps = materialize(sets.select("doc_id", "digest", set_id().alias("fp")), "simhash-fingerprints")
+    rows = fps.join(_classes(fps, lambda _: similar_links(sets.select("fp"), similarity)), "fp")
     same = rows.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("m"))
     first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "m")).alias("k"))
     return take_rows(docs, first.select("k.doc_id", "k.digest", "k.m", F.lit(1).cast("long").alias("copies")))

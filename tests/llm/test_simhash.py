@@ -105,6 +105,33 @@ def test_near_copies_go_and_unlike_texts_stay(spark):
     assert near <= 8
 
 
+def shingle_set(body):
+    w = body.encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({b" ".join(w)} if w else set())
+
+
+def test_links_are_those_of_the_real_similarity(spark):
+    """Pairs on both sides of 0.8, where SimHash bits can't tell them apart; all sizes of text."""
+    r = random.Random(11)
+    rows, above, below = [], 0, 0
+    for n in range(300):
+        size = r.choice([8, 9, 14, 30, 60, 120, 300])
+        base = [f"p{n}w{k}" for k in range(size)]
+        cut = round((size - 4) * r.uniform(0.1, 0.28))
+        other = base[: size - cut] + ([f"q{n}w{k}" for k in range(r.choice([0, 0, cut // 4]))])
+        a, b = shingle_set(" ".join(base)), shingle_set(" ".join(other))
+        alike = len(a & b) / len(a | b)
+        above += 0.8 <= alike < 0.85
+        below += 0.7 <= alike < 0.8
+        rows.append(row(2 * n, " ".join(base)))
+        rows.append(row(2 * n + 1, " ".join(other)))
+    assert above > 20 and below > 20
+    texts = {x[0]: shingle_set(x[1]) for x in rows}
+    want = {2 * n for n in range(300)} | {2 * n + 1 for n in range(300) if len(texts[2 * n] & texts[2 * n + 1]) * 5 < 4 * len(texts[2 * n] | texts[2 * n + 1])}
+    got = {x["doc_id"] for x in simhash.keep_one(documents(spark, rows)).collect()}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(empty(spark)).count() == 0
