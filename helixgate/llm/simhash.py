@@ -321,16 +321,27 @@ def _bucket_members(keyed: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: _whole_groups(batches, 3, work), "key long, id long, size int, first long")
 
 
-def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
+def _blocks(members: DataFrame, max_bucket: int) -> DataFrame:
+    """Rows (g, id, size, root, side) from (key, id, size, root): pairs to be compared are those of
+    one ``g`` and two sides. A key of more than ``max_bucket`` rows is dealt into blocks of about
+    that many, and each two blocks, or a block with itself, are a ``g`` of their own."""
+    n = members.groupBy("key").agg(F.ceil(F.count("*") / max_bucket).cast("long").alias("blocks"))
+    dealt = members.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    g = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return met.select(g.alias("g"), "id", F.col("size").cast("long").alias("size"), "root", F.when(F.col("block") == F.col("other"), F.col("id")).otherwise(F.col("block")).alias("side"))
+
+
+def _open_pairs(members: DataFrame, similarity: float, max_bucket: int) -> DataFrame:
     """Pairs (u, v) of rows (key, id, size, root) of one key whose roots differ and whose sizes allow a link."""
     p, q = _ratio(similarity)
 
-    def work(key, ident, size, root):
-        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    def work(g, ident, size, root, side):
+        cut = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
         found, n = [], 0
         for lo, hi in zip(cut, cut[1:]):
             for k in range(lo + 1, hi):
-                near = (root[lo:k] != root[k]) & (np.minimum(size[lo:k], size[k]) * q >= np.maximum(size[lo:k], size[k]) * p)
+                near = (root[lo:k] != root[k]) & (side[lo:k] != side[k]) & (np.minimum(size[lo:k], size[k]) * q >= np.maximum(size[lo:k], size[k]) * p)
                 at = ident[lo:k][near]
                 found.append(np.stack([np.maximum(at, ident[k]), np.minimum(at, ident[k])], axis=1))
                 n += len(at)
@@ -344,8 +355,8 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    rows = members.select("key", "id", F.col("size").cast("long").alias("size"), "root").repartition("key").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(lambda batches: _whole_groups(batches, 4, work), "u long, v long").distinct()
+    rows = _blocks(members, max_bucket).repartition("g").sortWithinPartitions("g", "id")
+    return rows.mapInArrow(lambda batches: _whole_groups(batches, 5, work), "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -378,7 +389,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, max_bucket: int
     size of the table; every edge is verified on the whole sets.
 
     In each bucket the least id is tried against the others first. What is then still in different
-    components is tried pair by pair."""
+    components is tried pair by pair, in buckets over ``max_bucket`` block by block."""
     classes = size_classes(similarity)
     highs = [c[1] for c in classes]
 
@@ -416,7 +427,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, max_bucket: int
     comp = components(edges).withColumnRenamed("root", "label")
     named = materialize(members.join(comp, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("root")), "simhash-named")
     mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    pairs = _open_pairs(named.join(mixed, "key", "left_semi"), similarity).join(stars, ["u", "v"], "left_anti")
+    pairs = _open_pairs(named.join(mixed, "key", "left_semi"), similarity, max_bucket).join(stars, ["u", "v"], "left_anti")
     return edges.unionByName(_verified(pairs, sets, similarity))
 
 

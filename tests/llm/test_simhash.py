@@ -132,6 +132,31 @@ def test_links_are_those_of_the_real_similarity(spark):
     assert got == want
 
 
+def test_large_buckets_lose_no_link(spark):
+    """Windows sliding over a text are alike to their neighbours only: long chains in common buckets."""
+    r = random.Random(2)
+    texts = []
+    for n in range(4):
+        words = [f"t{n}w{k}" for k in range(200)]
+        at = 0
+        while at + 60 <= 200:
+            texts.append(" ".join(words[at : at + 60]))
+            at += r.choice([3, 5, 6, 6, 7])
+    sets = [shingle_set(x) for x in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = simhash.roots(len(sets), *np.array(pairs).T)
+    want = sorted(n for n in np.unique(root, return_counts=True)[1].tolist() if n > 1)
+    assert len(want) > 8
+    fps = spark.createDataFrame([(bytearray(simhash.wide_fingerprint(x.encode())),) for x in texts], "fp binary")
+    for most in (4096, 3):
+        found = simhash.components(simhash.similar_links(fps, max_bucket=most)).groupBy("root").count().collect()
+        assert sorted(x["count"] for x in found) == want
+    rows = [(7, n, 100, n) for n in range(60)]
+    members = spark.createDataFrame(rows, "key long, id long, size int, root long")
+    got = simhash._open_pairs(members, 0.8, 7).collect()
+    assert sorted(map(tuple, got)) == [(i, j) for i in range(60) for j in range(i)]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(empty(spark)).count() == 0
