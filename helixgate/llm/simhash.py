@@ -378,6 +378,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return with_both.mapInArrow(run, "u long, v long")
 
 
+def _slices(batches, rows: int = 256):
+    """The same rows in short batches, so that a worker holds few texts or sets at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def set_id(fp: str = "fp"):
     """64 bits that stand for a whole set of shingle hashes."""
     return F.xxhash64(fp)
@@ -395,7 +402,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, max_bucket: int
 
     def keys(batches):
         seen = set()
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [(i, x) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             out, n = [], 0
             for ident, raw in rows:
@@ -474,7 +481,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     repeat this doc_id the one with the least text digest, once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fp = pa.array([wide_fingerprint(x or b"", width) for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), fp], names=["doc_id", "digest", "fp"])

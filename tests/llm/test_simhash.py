@@ -157,6 +157,25 @@ def test_large_buckets_lose_no_link(spark):
     assert sorted(map(tuple, got)) == [(i, j) for i in range(60) for j in range(i)]
 
 
+def test_any_alike_pair_shares_a_key():
+    """Pairs at the least overlap that 0.8 allows, of all sizes; keys hang on the one set alone."""
+    r = np.random.default_rng(1)
+    classes = simhash.size_classes(0.8)
+    highs = [c[1] for c in classes]
+    tried = 0
+    for n in (4, 5, 8, 11, 20, 30, 50, 100, 300, 1000):
+        for _ in range(200 if n < 300 else 20):
+            m = int(r.integers(n, n * 5 // 4 + 1))
+            common = -(-4 * (n + m) // 9)
+            if common > n:
+                continue
+            h = r.integers(0, 1 << 63, n + m - common).astype(np.uint64)
+            a, b = (np.concatenate(simhash.part_keys(x, classes, highs, 0.8)) for x in (h[:n], h[n - common :]))
+            assert len(np.intersect1d(a, b)), (n, m)
+            tried += 1
+    assert tried > 1000
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(empty(spark)).count() == 0
