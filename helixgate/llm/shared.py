@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-SPACES = r"[\x20\x09-\x0D]+"
-
-_local_dirs: dict[str, str] = {}
-
+from ..store import discard, fresh_path, store
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in sessions without that setting
-    (tests on one machine) a temporary folder that is made once per application."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="helixgate-")
-    return _local_dirs[app]
+__all__ = ["WORD", "digest", "discard", "fresh_path", "materialize", "read", "row_mark", "take_rows", "word_count"]
 
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
+#: Words are maximal runs of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again, which cuts its lineage:
-    later jobs, and retries after lost executors, start from the written files."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: One table written to the shared folder and read again.
+materialize = store
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,22 +31,26 @@ def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def row_mark(cols: dict[str, Column]) -> Column:
+    """One string key of several columns, null apart from any text."""
+    return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in cols.values()))
+
+
 def take_rows(docs: DataFrame, picked: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as ``picked`` (doc_id, digest, m, copies, and source if need be)
     says: m rows share these keys and text, and give ``copies`` rows together.
 
-    Texts are the streamed side of a hash join with the short list of picks, so they move once
-    and are not sorted; the few keys that rows repeat are handled apart."""
+    Texts move once, to meet the short list of picks; the few keys that rows repeat are handled
+    apart. The join is left to adaptive execution, which splits hot keys and may spill."""
     keys = [c for c in ("doc_id", "source", "digest") if c in picked.columns]
     plain = {"doc_id": F.col("doc_id").cast("string"), "source": F.col("source"), "digest": F.col("digest")}
-    mark = lambda cols: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), cols[c]), F.lit("-")) for c in keys))
-    picked = materialize(picked.select(mark(plain).alias("__key"), "m", "copies"), "picked")
+    picked = materialize(picked.select(row_mark({c: plain[c] for c in keys}).alias("__key"), "m", "copies"), "picked")
     own = plain | {"digest": digest(F.col("text"))}
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), mark(own).alias("__key"))
-    once = packed.join(picked.where("m = 1").hint("shuffle_hash"), "__key")
-    out = once.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), row_mark({c: own[c] for c in keys}).alias("__key"))
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
+    out = packed.join(picked.where("m = 1"), "__key").withColumn("__r", times).select("doc.*")
     many = materialize(picked.where("m > 1"), "picked-repeats")
     if not many.isEmpty():
         firsts = packed.join(many, "__key").dropDuplicates(["__key"])
-        out = out.unionByName(firsts.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*"))
+        out = out.unionByName(firsts.withColumn("__r", times).select("doc.*"))
     return out

@@ -11,23 +11,31 @@ Groups above ``max_bucket`` fingerprints take another exact way that gathers not
 fingerprint stands for the 65 values at distance 0 or 1, and two fingerprints share one of these
 exactly if they differ in 2 bits or fewer, so a minimum per value (combined map-side) links them.
 
-``keep_one`` asks for the Jaccard similarity of sets of five-word shingles instead, which no
-distance of SimHash bits stands for exactly: candidates share a whole part of their sets, of more
-parts than alike sets have differences, and every link is verified on the whole sets.
-
-Links inside a group are reduced to a spanning star before they leave the task; components come
-from alternating large-star and small-star steps over tables in the shared folder.
-
-Defined results: null or word-less text has fingerprint zero, which links like any other; equal
-rows share a component; repeated doc_ids give one row each; a null doc_id sorts after all others
-as a component's name; an empty table gives an empty result; other columns are ignored by
-``near_duplicates`` and kept by ``keep_one``.
+``keep_one``, the pipeline's stage, links texts whose sets of distinct five-word shingles are alike
+to 0.8 (Jaccard), and verifies every link on the whole sets. Candidates come in two steps:
+
+1. Prefix filter, complete at any size of the table: shingles are ordered by how often they occur
+   (a sketch of fixed size, exact order whatever its noise), rarest first; of sets of n shingles
+   alike to 0.8 the first n - ceil(0.8 n) + 1 share one. So a passage that many documents share
+   stands last and joins nothing, unless it is most of a text.
+2. In each such bucket 256-bit SimHash fingerprints are compared bit-sliced, within a radius of
+   WIDE_RADIUS: 5 standard deviations above the mean of pairs at 0.8 (a pair at exactly 0.8 is lost
+   with a chance of 3e-7; 7e-4 in the extreme of 4 shingles against 5). Buckets above
+   ``max_bucket`` are compared block against block, each two blocks a task of their own.
+
+The components of step 2 are clusters; a cluster's texts meet once (large clusters in pairs of
+blocks bounded by their shingles) and are linked there by exact counts of common shingles.
+
+Defined results: null or word-less text has fingerprint zero, which links like any other (and all
+such texts are copies of one another for ``keep_one``); very long texts are read whole, one at a
+time, and weigh by their shingles when blocks are dealt; equal rows share a component; repeated
+doc_ids give one row each; of ties for a component's name the least doc_id wins, a null one sorts
+after all others; an empty table gives an empty result; other columns are ignored by
+``near_duplicates`` and kept by ``keep_one``. Shingles and sets are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import bisect
-import math
 from fractions import Fraction
 
 import numpy as np
@@ -36,9 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import digest, materialize, read, take_rows
+from .shared import digest, discard, materialize, read, row_mark, take_rows
 
 RADIUS = 2
+WIDE_RADIUS = 68
+#: counters of the shingle sketch, 2 ** bits: what the driver and the tasks hold of it is 256 KiB
+SKETCH_BITS = 18
 _ONE = np.uint64(1)
 
 
@@ -75,8 +86,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return packed.mapInArrow(run, f"doc {kind}, fp long")
 
 
-def bit_sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, candidate), query > candidate, within ``radius`` inside each group.
+def _near(values: np.ndarray, starts: np.ndarray, radius: int, units: int):
+    """Index pairs (query, candidate), query > candidate, within ``radius`` inside each group, for
+    ``units`` queries against 64 candidates at a time.
 
     values: uint64, group after group, in rows of several for longer fingerprints; starts: first
     index of each group, with the end last."""
@@ -98,9 +110,8 @@ def bit_sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIU
     per = place // 64 + 1
     query = np.repeat(np.arange(len(values)), per)
     against = first[group[query]] + (np.arange(len(query)) - np.repeat(np.cumsum(per) - per, per))
-    left, right = [], []
-    for k in range(0, len(query), 1 << 18):
-        q, c = query[k : k + (1 << 18)], against[k : k + (1 << 18)]
+    for k in range(0, len(query), units):
+        q, c = query[k : k + units], against[k : k + units]
         # in the query's own block, only candidates before it
         live = valid[c] & np.where(c == block[q], (_ONE << lane[q]) - _ONE, ~np.uint64(0))
         levels = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]
@@ -121,10 +132,24 @@ def bit_sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIU
             near = ~(over | _above(levels, radius))
             bits = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             u, at = np.nonzero(bits)
-            left.append(q[u])
-            right.append(starts[group[q[u]]] + (c[u] - first[group[q[u]]]) * 64 + at)
+            yield q[u], starts[group[q[u]]] + (c[u] - first[group[q[u]]]) * 64 + at
+
+
+def bit_sliced_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``_near``."""
+    found = list(_near(values, starts, radius, 1 << 18))
     none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (none, none)
+
+
+def bit_sliced_roots(values: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
+    """Least index that chains of ``_near`` pairs reach from each; holds few pairs at a time."""
+    root = np.arange(len(values))
+    for a, b in _near(values, starts, radius, 1 << 13):
+        a, b = root[a], root[b]
+        if (a != b).any():
+            root = roots(len(values), a[a != b], b[a != b])[root]
+    return root
 
 
 def _above(levels: list[np.ndarray], radius: int) -> np.ndarray:
@@ -229,13 +254,29 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def wide_fingerprint(data: bytes, width: int = 5) -> bytes:
-    """XXH64 values of all distinct word shingles of one text, ascending, 8 bytes each."""
+def shingle_hashes(data: bytes, width: int = 5) -> np.ndarray:
+    """64-bit hashes of the distinct word shingles of one text, ascending; a text of fewer words is
+    one shingle, one without words none."""
     words = data.lower().split()
     if not words:
-        return b""
-    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width))))
-    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64)).tobytes()
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    span = min(width, len(h))
+    n = len(h) - span + 1
+    s = h[:n]
+    for k in range(1, span):
+        s = _mixed(s + np.uint64(k * _STEP % (1 << 64))) ^ h[k : k + n]
+    return np.unique(_mixed(s + np.uint64(span)))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """256 majority bits over shingle hashes, as four words."""
+    z = np.stack([_mixed(h + np.uint64(k * _STEP % (1 << 64))) for k in range(1, 5)], axis=1)
+    total = np.zeros(256, np.int64)
+    for k in range(0, len(h), 255):  # so many ones fit a byte
+        bits = np.unpackbits(z[k : k + 255].view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)
 
 
 def _ratio(similarity: float) -> tuple[int, int]:
@@ -243,49 +284,74 @@ def _ratio(similarity: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
-def size_classes(similarity: float, top: int = 1 << 31) -> list[tuple[int, int, int, int]]:
-    """(lo, hi, parts, slack): sets of lo to hi shingles and their alike partners, not smaller,
-    differ in fewer than parts - slack shingles. Classes in which only equal sets are alike have
-    no parts. ``slack`` is about the number of parts that a set of ``lo`` leaves empty."""
+def prefix_keys(h: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, as many as alike sets cannot all miss: two sets alike to
+    ``similarity`` share at least ceil(similarity * n) of either's n. A key is the shingle's level
+    of frequency before bits of its hash, so keys order all sets' shingles alike."""
     p, q = _ratio(similarity)
-    out, lo = [], 1
-    while lo <= top:
-        hi = max(lo, lo * q // p)
-        differ = (q - p) * (hi + hi * q // p) // (p + q)
-        slack = 0
-        for _ in range(20 if differ else 0):
-            parts = differ + 1 + slack
-            empty = parts * math.exp(lo * math.log1p(-1 / parts))
-            slack = max(slack, math.ceil(empty + math.sqrt(empty) - 1.3))
-        out.append((lo, hi, differ + 1 + slack if differ else 0, slack))
-        lo = hi + 1
-    return out
+    keys = levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | h >> np.uint64(6)
+    n = len(h) + (-len(h) * p // q) + 1
+    return np.partition(keys, n - 1)[:n] if len(h) else keys
 
 
-def part_keys(h: np.ndarray, classes: list, highs: list[int], similarity: float) -> list[np.ndarray]:
-    """Keys of one set of shingle hashes, such that any two sets alike to ``similarity`` share one.
+def _slices(batches, rows: int = 256):
+    """The same rows in short batches, so that a worker holds few texts or sets at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
-    Hashes are dealt to the parts of a class; a pair differs in fewer shingles than there are
-    parts, so ``slack + 1`` parts at least hold the same shingles in both. A set that leaves no
-    more than ``slack`` parts empty shares a part that is not empty; any other set deals itself
-    again, in further rounds, until one leaves so few: the pair meets in the earlier end of both."""
-    p, q = _ratio(similarity)
-    out = []
-    for c in range(bisect.bisect_left(highs, -(-len(h) * p // q)), bisect.bisect_left(highs, len(h)) + 1):
-        _, _, parts, slack = classes[c]
-        turn = 0
-        while parts:
-            z = _mixed(h + np.uint64((c << 20 | turn + 1) * _STEP % (1 << 64)))
-            part = (z % np.uint64(parts)).astype(np.int64)
-            held = np.bincount(part, minlength=parts) > 0
-            total = np.zeros(parts, np.uint64)
-            np.add.at(total, part, _mixed(z))
-            place = (np.flatnonzero(held) + 1).astype(np.uint64) * np.uint64(_STEP)
-            out.append(_mixed(total[held] ^ place))
-            if parts - held.sum() <= slack:
-                break
-            turn += 1
-    return out
+
+def _texts(column) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def shingle_levels(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Per counter of the sketch the logarithm of how many (document, shingle) pairs fall on it.
+    All documents count; the result has 2 ** bits bytes, whatever their number."""
+
+    def run(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in _slices(batches):
+            found = [shingle_hashes(x, width) for x in _texts(batch.column(0))]
+            counts += np.bincount((np.concatenate(found) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["counter", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.zeros(1 << bits, np.uint8)
+    levels[sums.column("counter").to_numpy()] = np.log2(sums.column("n").to_numpy()).astype(np.uint8)
+    return levels
+
+
+_WORDS = ["s0", "s1", "s2", "s3"]
+
+
+def shingle_sets(docs: DataFrame, levels: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """doc_id, digest, id of the set, its size, fingerprint (s0..s3) and keys; keys only where a
+    task meets a set first."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in _slices(batches):
+            ids, sizes, words, keys = [], [], [], []
+            for x in _texts(batch.column("text")):
+                h = shingle_hashes(x, width)
+                ident = xxhash.xxh3_64_intdigest(h.tobytes())
+                ids.append(ident)
+                sizes.append(len(h))
+                words.append(wide_fingerprint(h))
+                keys.append([] if ident in seen else prefix_keys(h, levels, similarity).view(np.int64))
+                seen.add(ident)
+            bits = np.stack(words).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("digest"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32))]
+                + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]
+                + [pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "id", "size", *_WORDS, "keys"],
+            )
+
+    slim = docs.select("doc_id", digest(F.col("text")).alias("digest"), "text")
+    return slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, id long, size int, {', '.join(f'{w} long' for w in _WORDS)}, keys array<long>")
 
 
 def _whole_groups(batches, columns: int, work):
@@ -305,137 +371,106 @@ def _whole_groups(batches, columns: int, work):
         yield from work(*held)
 
 
-def _bucket_members(keyed: DataFrame) -> DataFrame:
-    """(key, id, size, first) of the buckets with two ids or more; first: the least id."""
-
-    def work(key, ident, size):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-        key, ident, size = key[new], ident[new], size[new]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.concatenate([start, [len(key)]]))
-        on = np.repeat(n > 1, n)
-        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (key, ident, size, np.repeat(ident[start], n))], names=["key", "id", "size", "first"])
-
-    rows = keyed.repartition("key").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(lambda batches: _whole_groups(batches, 3, work), "key long, id long, size int, first long")
-
-
-def _blocks(members: DataFrame, max_bucket: int) -> DataFrame:
-    """Rows (g, id, size, root, side) from (key, id, size, root): pairs to be compared are those of
-    one ``g`` and two sides. A key of more than ``max_bucket`` rows is dealt into blocks of about
-    that many, and each two blocks, or a block with itself, are a ``g`` of their own."""
-    n = members.groupBy("key").agg(F.ceil(F.count("*") / max_bucket).cast("long").alias("blocks"))
-    dealt = members.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    g = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    return met.select(g.alias("g"), "id", F.col("size").cast("long").alias("size"), "root", F.when(F.col("block") == F.col("other"), F.col("id")).otherwise(F.col("block")).alias("side"))
+def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """``rows`` with a group ``g``: rows of one ``key`` are dealt to its ``blocks``, and each two
+    blocks are a group; a key of one block is a group by itself."""
+    met = rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    met = met.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(others)))
+    return met.withColumn("g", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).drop("block", "blocks", "other")
+
+
+def candidate_links(sets: DataFrame, max_bucket: int = 2048) -> DataFrame:
+    """Edges (u, v) that connect the sets which chains of fingerprints within WIDE_RADIUS and with a
+    common key connect."""
+
+    def work(g, ident, *words):
+        starts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+        root = bit_sliced_roots(np.stack(words, axis=1).view(np.uint64), starts, WIDE_RADIUS)
+        moved = np.flatnonzero(root != np.arange(len(g)))
+        a, b = ident[moved], ident[root[moved]]
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    keyed = sets.select(F.explode("keys").alias("key"), "id")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+    members = materialize(keyed.join(shared, "key", "left_semi").distinct(), "simhash-members")
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / max_bucket).cast("long").alias("blocks"))
+    prints = sets.where(F.size("keys") > 0).groupBy("id").agg(*(F.first(w).alias(w) for w in _WORDS))
+    rows = _dealt(members, "key", blocks).select("g", "id").join(prints, "id").select("g", "id", *_WORDS)
+    found = rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(lambda batches: _whole_groups(batches, 6, work), "u long, v long")
+    out = materialize(found.distinct(), "simhash-candidates")
+    discard(members)
+    return out
 
 
-def _open_pairs(members: DataFrame, similarity: float, max_bucket: int) -> DataFrame:
-    """Pairs (u, v) of rows (key, id, size, root) of one key whose roots differ and whose sizes allow a link."""
+def set_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Least index that chains of pairs alike to ``similarity`` reach from each set. Common shingles
+    are counted exactly, one set against all before it over the places that hold its shingles."""
     p, q = _ratio(similarity)
-
-    def work(g, ident, size, root, side):
-        cut = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-        found, n = [], 0
-        for lo, hi in zip(cut, cut[1:]):
-            for k in range(lo + 1, hi):
-                near = (root[lo:k] != root[k]) & (side[lo:k] != side[k]) & (np.minimum(size[lo:k], size[k]) * q >= np.maximum(size[lo:k], size[k]) * p)
-                at = ident[lo:k][near]
-                found.append(np.stack([np.maximum(at, ident[k]), np.minimum(at, ident[k])], axis=1))
-                n += len(at)
-                if n > 1 << 18:
-                    yield flush(found)
-                    found, n = [], 0
-        if n:
-            yield flush(found)
-
-    def flush(found):
-        pairs = np.unique(np.concatenate(found), axis=0)
+    size = np.array([len(h) for h in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = owner[np.argsort(shingle, kind="stable")]
+    begin = np.cumsum(times) - times
+    own = np.cumsum(size) - size
+    root = np.arange(len(sets))
+    for k in range(1, len(sets)):
+        mine = shingle[own[k] : own[k] + size[k]]
+        n = times[mine]
+        if n.sum() == len(mine):
+            continue
+        at = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(place[at], minlength=len(sets))[:k]
+        alike = np.flatnonzero((common * (p + q) >= p * (size[:k] + size[k])) & (root[:k] != root[k]))
+        if len(alike):
+            met = np.unique(np.append(root[alike], root[k]))
+            root[np.isin(root, met)] = met[0]
+    return root
+
+
+def verified_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, similarity: float, block_shingles: int = 1_000_000) -> DataFrame:
+    """Edges (u, v) between sets of one cluster (id, root) that connect what chains of pairs alike
+    to ``similarity`` connect. One text of each set moves, once for each pair of blocks it is in."""
+
+    def links(ids, held):
+        ids, root = np.array(ids, np.int64), set_links(held, similarity)
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        a, b = ids[moved], ids[root[moved]]
+        return np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)
+
+    def batch_of(found):
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    rows = _blocks(members, max_bucket).repartition("g").sortWithinPartitions("g", "id")
-    return rows.mapInArrow(lambda batches: _whole_groups(batches, 5, work), "u long, v long").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose whole sets (id, fp) are alike to ``similarity``."""
-    p, q = _ratio(similarity)
-
     def run(batches):
-        for batch in batches:
-            left, right = (batch.column(k).to_pylist() for k in (2, 3))
-            on = np.zeros(len(left), bool)
-            for n, (a, b) in enumerate(zip(left, right)):
-                both = np.sort(np.frombuffer(a + b, np.uint64), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                on[n] = common * (p + q) >= p * len(both)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(on)) for k in (0, 1)], names=["u", "v"])
-
-    with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("fp").alias("a")), "u")
-    with_both = with_u.join(sets.select(F.col("id").alias("v"), F.col("fp").alias("b")), "v").select("u", "v", "a", "b")
-    return with_both.mapInArrow(run, "u long, v long")
-
-
-def _slices(batches, rows: int = 256):
-    """The same rows in short batches, so that a worker holds few texts or sets at once."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
-def set_id(fp: str = "fp"):
-    """64 bits that stand for a whole set of shingle hashes."""
-    return F.xxhash64(fp)
-
-
-def similar_links(distinct: DataFrame, similarity: float = 0.8, max_bucket: int = 4096) -> DataFrame:
-    """Edges (u, v), ids of sets ``fp``, that connect exactly the sets which chains of pairs alike
-    to ``similarity`` connect. Candidates share a key of ``part_keys``, which misses no pair at any
-    size of the table; every edge is verified on the whole sets.
-
-    In each bucket the least id is tried against the others first. What is then still in different
-    components is tried pair by pair, in buckets over ``max_bucket`` block by block."""
-    classes = size_classes(similarity)
-    highs = [c[1] for c in classes]
-
-    def keys(batches):
-        seen = set()
+        at, ids, held, found = None, [], [], []
         for batch in _slices(batches):
-            rows = [(i, x) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            out, n = [], 0
-            for ident, raw in rows:
-                if ident in seen:
-                    continue
-                seen.add(ident)
-                h = np.frombuffer(raw, np.uint64)
-                for k in part_keys(h, classes, highs, similarity) if len(h) else ():
-                    out.append((k, ident, len(h)))
-                    n += len(k)
-                if n > 1 << 16:
-                    yield packed(out)
-                    out, n = [], 0
-            if n:
-                yield packed(out)
-
-    def packed(out):
-        times = [len(k) for k, _, _ in out]
-        key = np.concatenate([k for k, _, _ in out]).view(np.int64)
-        ident, size = (np.repeat(np.array([x[c] for x in out], kind), times) for c, kind in ((1, np.int64), (2, np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), pa.array(size)], names=["key", "id", "size"])
-
-    sets = distinct.select(set_id().alias("id"), "fp")
-    members = materialize(_bucket_members(sets.mapInArrow(keys, "key long, id long, size int")), "simhash-members")
-    taking = members.select("id").distinct()
-    sets = materialize(sets.join(taking, "id", "left_semi").dropDuplicates(["id"]), "simhash-sets")
-    stars = members.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
-    edges = materialize(_verified(stars, sets, similarity), "simhash-stars")
-    comp = components(edges).withColumnRenamed("root", "label")
-    named = materialize(members.join(comp, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("root")), "simhash-named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    pairs = _open_pairs(named.join(mixed, "key", "left_semi"), similarity, max_bucket).join(stars, ["u", "v"], "left_anti")
-    return edges.unionByName(_verified(pairs, sets, similarity))
+            for g, ident, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))):
+                if g != at:
+                    if len(ids) > 1:
+                        found.append(links(ids, held))
+                    at, ids, held = g, [], []
+                if not ids or ids[-1] != ident:  # rows may repeat
+                    ids.append(ident)
+                    held.append(shingle_hashes(x, width))
+            if len(found) > 1000:
+                yield batch_of(found)
+                found = []
+        if len(ids) > 1:
+            found.append(links(ids, held))
+        yield batch_of(found)
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
+    named = materialize(sets.join(clusters, "id").groupBy("id", "root").agg(first, F.max("size").alias("size")), "simhash-clustered")
+    blocks = named.groupBy("root").agg(F.ceil(F.sum("size") / block_shingles).cast("long").alias("blocks"))
+    mark = row_mark({"doc_id": F.col("k.doc_id").cast("string"), "digest": F.col("k.digest")})
+    spread = _dealt(named.withColumn("mark", mark), "root", blocks).select("mark", "g", "id")
+    texts = docs.select(row_mark({"doc_id": F.col("doc_id").cast("string"), "digest": digest(F.col("text"))}).alias("mark"), "text")
+    met = texts.join(spread, "mark").select("g", "id", "text").repartition("g").sortWithinPartitions("g", "id")
+    out = materialize(met.mapInArrow(run, "u long, v long"), "simhash-links")
+    discard(named)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -448,9 +483,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialize(large, "simhash-large")
+        discard(edges)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = materialize(small, "simhash-small")
+        discard(large)
         after = mark(edges)
         if after == before:
             break
@@ -459,37 +496,35 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(ends.select(F.col("root").alias("id"), "root").distinct())
 
 
-def _classes(fps: DataFrame, search) -> DataFrame:
-    """fp, root, component_id (least doc_id of the component) from rows (doc_id, fp)."""
+def near_duplicates(docs: DataFrame, width: int = 3, max_bucket: int = 512) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
+    fps = materialize(fingerprints(docs.select("doc_id", "text"), width).select("doc.doc_id", "fp"), "simhash-fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    comp = materialize(components(search(distinct.select("fp"))), "simhash-components")
+    comp = materialize(components(links(distinct.select("fp"), max_bucket)), "simhash-components")
     named = distinct.join(comp, distinct["fp"] == comp["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    classes = named.join(least, "root").select("fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, max_bucket: int = 512) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
-    fps = materialize(fingerprints(docs.select("doc_id", "text"), width).select("doc.doc_id", "fp"), "simhash-fingerprints")
-    return fps.join(_classes(fps, lambda d: links(d, max_bucket)), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+def shingle_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bucket: int = 2048, block_shingles: int = 1_000_000) -> DataFrame:
+    """doc_id, digest and ``root``, the name of the group of near copies, of every document."""
+    sets = materialize(shingle_sets(docs, shingle_levels(docs, width), width, similarity), "simhash-sets")
+    near = candidate_links(sets, max_bucket)
+    clusters = materialize(components(near), "simhash-clusters")
+    discard(near)
+    sure = verified_links(docs, sets.select("doc_id", "digest", "id", "size"), clusters, width, similarity, block_shingles)
+    comp = materialize(components(sure), "simhash-components")
+    discard(clusters, sure)
+    return sets.select("doc_id", "digest", "id").join(comp, "id", "left").select("doc_id", "digest", F.coalesce("root", "id").alias("root"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bucket: int = 2048, block_shingles: int = 1_000_000) -> DataFrame:
     """One document of each group of near copies - texts whose sets of distinct ``width``-word
     shingles have a Jaccard similarity of ``similarity`` or more, and what chains of such texts
     connect: the one with the least doc_id (a null doc_id last), with all its columns; of rows that
     repeat this doc_id the one with the least text digest, once."""
-
-    def run(batches):
-        for batch in _slices(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            fp = pa.array([wide_fingerprint(x or b"", width) for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), fp], names=["doc_id", "digest", "fp"])
-
-    slim = docs.select("doc_id", digest(F.col("text")).alias("digest"), "text")
-    sets = materialize(slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, fp binary"), "simhash-shingles")
-    fps = materialize(sets.select("doc_id", "digest", set_id().alias("fp")), "simhash-fingerprints")
-    rows = fps.join(_classes(fps, lambda _: similar_links(sets.select("fp"), similarity)), "fp")
+    rows = shingle_classes(docs, width, similarity, max_bucket, block_shingles)
     same = rows.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("m"))
     first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "m")).alias("k"))
     return take_rows(docs, first.select("k.doc_id", "k.digest", "k.m", F.lit(1).cast("long").alias("copies")))
