@@ -44,7 +44,8 @@ def first_token(header: Column) -> Column:
 
 
 def unsafe_id(id_: Column) -> Column:
-    return (F.trim(id_) != id_) | id_.rlike(r"[\p{Cc}/\\]")
+    """White space of any script at an end, control characters or slashes."""
+    return id_.rlike(r"(?U)^\s|\s\z|[\p{Cc}/\\]")
 
 
 def long_header(header: Column, limit: int = 255) -> Column:
@@ -52,7 +53,8 @@ def long_header(header: Column, limit: int = 255) -> Column:
 
 
 def reserved_header_chars(header: Column) -> Column:
-    return F.trim(header).rlike("[|;\"'`<>\\t]")
+    """Reserved characters, or a tab inside the header."""
+    return header.rlike(r"(?U)[|;\"'`<>]|\S\s*\t\s*\S")
 
 
 #: name -> Column function, for those that make sense by themselves in SQL.

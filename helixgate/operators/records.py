@@ -1,9 +1,10 @@
 """Per-record features and flags, per-sample statistics, plots.
 
-Sequences are reduced to features before anything is shuffled. Nothing sorts or gathers a sample:
-duplicates compare with the least record number of their key, order statistics and Nx work on
-counts per distinct length, spread comes from exact sums. A sample that holds most records is
-combined map-side like any other.
+Sequences are reduced to features before anything is shuffled. No sample's records are sorted or
+gathered whole: duplicates compare with the least record number of their key, order statistics and
+Nx work on counts per distinct length (of which a sample holds as many as it has lengths), spread
+comes from exact sums, and plot points are cut to the longest records by length counts and in salted
+parts before the few that are left are ranked.
 """
 
 from __future__ import annotations
@@ -76,12 +77,19 @@ def features(records: DataFrame) -> DataFrame:
     )
 
 
+DUPLICATES = {"id": "duplicate_id", "first_token_id": "duplicate_first_token_id", "seq_hash": "duplicate_sequence"}
+
+
 def with_duplicates(rows: DataFrame) -> DataFrame:
-    """Flags the second and later records of each id, first token and sequence of a sample."""
-    for key, flag in (("id", "duplicate_id"), ("first_token_id", "duplicate_first_token_id"), ("seq_hash", "duplicate_sequence")):
-        first = rows.groupBy("sample_id", key).agg(F.min("record_idx").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-        rows = rows.join(first, ["sample_id", key], "left").withColumn(flag, F.coalesce(F.col("record_idx") > F.col("__first"), F.lit(False))).drop("__first")
-    return rows
+    """Flags the second and later records of each id, first token and sequence of a sample. All three
+    keys go through one aggregate; only keys seen twice meet the records again."""
+    keys = F.array(*(F.struct(F.lit(flag).alias("flag"), F.col(key).alias("key")) for key, flag in DUPLICATES.items()))
+    long = rows.select("sample_id", "record_idx", F.explode(keys).alias("k")).select("sample_id", "record_idx", "k.flag", "k.key")
+    first = long.groupBy("sample_id", "flag", "key").agg(F.min("record_idx").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    later = long.join(first, ["sample_id", "flag", "key"]).where("record_idx > __first")
+    flags = later.groupBy("sample_id", "record_idx").agg(*(F.bool_or(F.col("flag") == flag).alias(flag) for flag in DUPLICATES.values()))
+    marked = rows.join(flags, ["sample_id", "record_idx"], "left")
+    return marked.withColumns({flag: F.coalesce(flag, F.lit(False)) for flag in DUPLICATES.values()})
 
 
 def high_n(p: Profile) -> Column:
@@ -229,9 +237,16 @@ def length_histogram(rows: DataFrame, bins: int = 10) -> DataFrame:
     )
 
 
-def gc_length_points(rows: DataFrame, p: Profile = Profile(), limit: int = 5000) -> DataFrame:
-    """The longest records of each sample with their flags, for a GC against length plot."""
-    w = W.partitionBy("sample_id").orderBy(F.desc("length"), "id", "record_idx")
+def gc_length_points(rows: DataFrame, p: Profile = Profile(), limit: int = 5000, salts: int = 64) -> DataFrame:
+    """The ``limit`` longest records of each sample with their flags, for a GC against length plot.
+
+    Counts per length tell from which length on records can be among them; what is left, ties
+    included, is cut to ``limit`` in salted parts and then ranked."""
+    down = W.partitionBy("sample_id").orderBy(F.desc("length")).rowsBetween(W.unboundedPreceding, -1)
+    longer = length_counts(rows).withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0)))
+    least = longer.where(F.col("before") < limit).groupBy("sample_id").agg(F.min("length").alias("__least"))
+    long = rows.join(least, "sample_id").where("length >= __least").withColumn("__part", F.pmod(F.xxhash64("record_idx"), F.lit(salts)))
+    order = (F.desc("length"), "id", "record_idx")
     flags = F.filter(
         F.array(
             F.when(tiny(p), "tiny_contig"), F.when(high_n(p), "high_n"), F.when(F.col("gc_outlier"), "gc_outlier"),
@@ -239,5 +254,7 @@ def gc_length_points(rows: DataFrame, p: Profile = Profile(), limit: int = 5000)
         ),
         lambda f: f.isNotNull(),
     )
-    top = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return top.select("sample_id", "rank", "id", "length", "gc_percent", flags.alias("flags"))
+    cut = long.select("sample_id", "__part", "record_idx", "id", "length", "gc_percent", flags.alias("flags"))
+    cut = cut.withColumn("rank", F.row_number().over(W.partitionBy("sample_id", "__part").orderBy(*order))).where(F.col("rank") <= limit)
+    top = cut.withColumn("rank", F.row_number().over(W.partitionBy("sample_id").orderBy(*order))).where(F.col("rank") <= limit)
+    return top.select("sample_id", "rank", "id", "length", "gc_percent", "flags")

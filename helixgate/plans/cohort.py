@@ -7,13 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import round2
 from ..operators.records import Profile
+from .rules import FINDINGS, STRUCTURE
 
 
-def cohort_samples(summary: DataFrame, verdict: DataFrame, ready: DataFrame) -> DataFrame:
-    """The summary beside gate and submission status."""
-    submission = ready.where("category = 'submission'").select("sample_id", F.col("status").alias("submission_status"))
-    gate = verdict.select("sample_id", F.col("status").alias("gate_status"), F.size("top_findings").alias("finding_count"))
-    return summary.join(gate, "sample_id").join(submission, "sample_id")
+METRICS = ("sequence_count", "total_length", "n50", "n90", "gc_percent", "n_percent", "duplicate_id_count", "invalid_sequence_count", "high_n_sequence_count", "tiny_contig_count", "max_gap_run", "gc_outlier_count", "length_outlier_count")
+
+
+def overall(ready: DataFrame) -> DataFrame:
+    """Per sample: categories with their status, in order, and all blockers by finding and category."""
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "category", "status", "blockers")))
+    flat = F.flatten(F.transform(F.col("c"), lambda c: F.transform(c["blockers"], lambda b: F.struct(F.substring_index(b, ".", -1).alias("id"), c["ordinal"].alias("n"), b.alias("b")))))
+    place = F.create_map(*(x for n, f in enumerate((*FINDINGS, STRUCTURE)) for x in (F.lit(f.id), F.lit(n))))
+    ordered = F.array_sort(F.transform(flat, lambda x: F.struct(place[x["id"]].alias("at"), x["n"].alias("n"), x["b"].alias("b"))))
+    per = ready.groupBy("sample_id").agg(rows.alias("c"))
+    status = lambda c: F.concat(c["category"], F.lit(":"), c["status"])
+    return per.select(
+        "sample_id",
+        F.transform("c", status).alias("readiness_categories"),
+        F.map_from_entries(F.transform("c", lambda c: F.struct(c["category"], c["status"]))).alias("by_category"),
+        F.transform(ordered, lambda x: x["b"]).alias("readiness_blockers"),
+    )
+
+
+def cohort_samples(summary: DataFrame, verdict: DataFrame, ready: DataFrame, tools: DataFrame, target: str | None = None) -> DataFrame:
+    """The row of each sample in a comparison. Tables have neither path nor checksum: the path is
+    the sample's name, the checksum empty."""
+    gate = verdict.select("sample_id", "status", "top_findings")
+    wide = summary.join(gate, "sample_id").join(overall(ready), "sample_id").join(tools, "sample_id")
+    return wide.select(
+        "sample_id", F.col("sample_id").alias("input_path"), F.col("status").alias("verdict"), F.col("status").alias("gate_status"),
+        F.when(F.size("readiness_blockers") > 0, "FAIL").otherwise(F.col("status")).alias("readiness_status"),
+        F.lit(target).cast("string").alias("submission_target"), F.col("by_category")["submission"].alias("submission_status"), "readiness_categories",
+        *METRICS, F.size("top_findings").cast("long").alias("finding_count"), F.col("top_findings").alias("finding_ids"), "readiness_blockers",
+        F.col("tools").alias("recommended_next_tools"), F.lit("").alias("input_sha256"),
+    )
 
 
 def cohort_summary(samples: DataFrame) -> DataFrame:

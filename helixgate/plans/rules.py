@@ -131,14 +131,14 @@ def evidence(rows: DataFrame, found: DataFrame, p: R.Profile = R.Profile(), limi
     with a high overall N rate and no such record shows its first records."""
     which = _predicates(p)
     tags = F.filter(F.array(*(F.when(cond, F.lit(k)) for k, cond in which.items()), F.lit("high_n_rate/all")), lambda t: t.isNotNull())
-    # per sample, which tags its findings ask for: a short list joined before the explode
-    asked = found.where(F.col("finding_id").isin(*which)).join(
-        rows.groupBy("sample_id").agg(F.count_if(R.high_n(p)).alias("__high")), "sample_id"
-    ).select("sample_id", "finding_id", F.when((F.col("finding_id") == "high_n_rate") & (F.col("__high") == 0), F.lit("high_n_rate/all")).otherwise(F.col("finding_id")).alias("tag"))
-    shown = rows.select(
+    # per sample the tags that its findings ask for, 16 at most: only their records are ranked
+    high = rows.groupBy("sample_id").agg(F.count_if(R.high_n(p)).alias("__high"))
+    tag = F.when((F.col("finding_id") == "high_n_rate") & (F.col("__high") == 0), F.lit("high_n_rate/all")).otherwise(F.col("finding_id"))
+    asked = found.where(F.col("finding_id").isin(*which)).join(high, "sample_id").groupBy("sample_id").agg(F.collect_set(tag).alias("__asked"))
+    shown = rows.join(asked, "sample_id").select(
         "sample_id", "record_idx", "id", "length", "invalid_count", "max_gap_run", "gc_percent", "gc_zscore", "n_fraction", "terminal_n_prefix", "terminal_n_suffix",
-        signals(p).alias("signals"), F.explode(tags).alias("tag"),
+        signals(p).alias("signals"), F.explode(F.array_intersect(tags, "__asked")).alias("tag"),
     )
     w = W.partitionBy("sample_id", "tag").orderBy("record_idx")
     first = shown.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return first.join(asked, ["sample_id", "tag"]).drop("tag")
+    return first.withColumn("finding_id", F.regexp_replace("tag", "/all$", "")).drop("tag")

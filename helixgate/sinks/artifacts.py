@@ -6,8 +6,13 @@ import html
 import json
 import os
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from ..functions.naming import table_sample_name
-from ..plans.report import SUMMARY
+from ..plans.cohort import overall
+from ..plans.policy import CATEGORIES, TOUCHES
+from ..plans.report import FLOATS, SCHEMA_VERSION, SUMMARY
 
 
 def display(v) -> str:
@@ -27,8 +32,6 @@ def _category(report: dict, name: str) -> dict:
 
 def submission_partition(report: dict) -> tuple[list[str], list[str]]:
     """Findings that touch submission, split into those that block it and the rest."""
-    from ..plans.policy import TOUCHES
-
     blockers = {b.removeprefix("submission.") for b in report["readiness"]["blockers"] if b.startswith("submission.")}
     ids = [f["id"] for f in report["findings"] if "submission" in TOUCHES.get(f["id"], ())]
     return [i for i in ids if i in blockers], [i for i in ids if i not in blockers]
@@ -54,6 +57,37 @@ def tsv_rows(report: dict) -> list[tuple[str, str]]:
     return [(k, display(v)) for k, v in rows]
 
 
+def _shown(name: str) -> Column:
+    """A number of the summary as text: two decimals at most, none that is needless."""
+    column = F.col("gap_pattern_sequence_count" if name.startswith("repeated") else name)
+    return F.regexp_replace(column.cast("decimal(38,2)").cast("string"), r"\.?0+$", "") if name in FLOATS else column.cast("string")
+
+
+def tsv_table(summary: DataFrame, found: DataFrame, verdict: DataFrame, ready: DataFrame, gate: str, target: str | None, profile: str = "assembly") -> DataFrame:
+    """sample_id, metric, value of all samples at once: the metrics of ``tsv_rows`` for tables."""
+    touches = F.col("finding_id").isin(*(k for k, v in TOUCHES.items() if "submission" in v))
+    order = F.array_sort(F.collect_list(F.when(touches, F.struct("position", "finding_id"))))
+    listed = found.groupBy("sample_id").agg(F.transform(order, lambda x: x["finding_id"]).alias("touching"), F.count("*").alias("finding_count"))
+    wide = summary.join(verdict, "sample_id").join(overall(ready), "sample_id").join(listed, "sample_id", "left")
+    joined = lambda c: F.array_join(c, ",")
+    touching = F.coalesce("touching", F.array().cast("array<string>"))
+    blocking = F.array_intersect(touching, "blocking_findings")
+    rows = {
+        "schema_version": F.lit(SCHEMA_VERSION), "profile": F.lit(profile), "verdict": F.col("status"), "gate_mode": F.lit(gate), "gate_status": F.col("status"),
+        "gate_blocking_findings": joined(F.col("blocking_findings")), "gate_advisory_findings": joined(F.col("advisory_findings")),
+        "readiness_status": F.when(F.size("readiness_blockers") > 0, "FAIL").otherwise(F.col("status")), "readiness_blockers": joined(F.col("readiness_blockers")),
+        **{f"readiness_{c}_status": F.col("by_category")[c] for c in CATEGORIES},
+        "submission_target": F.lit(target).cast("string"), "submission_status": F.col("by_category")["submission"],
+        "submission_blocking_findings": joined(blocking), "submission_advisory_findings": joined(F.array_except(touching, blocking)),
+        "unsafe_identifier_count": _shown("unsafe_id_count"), "long_identifier_count": _shown("long_header_count"),
+        "submission_duplicate_first_token_id_count": _shown("duplicate_first_token_id_count"), "gap_like_n_run_count": _shown("repeated_gap_pattern_sequence_count"), "input_sha256": F.lit(""),
+        **{k: _shown(k) for k in SUMMARY},
+        **{k: _shown(k) for k in ("gc_outlier_count", "length_outlier_count", "composite_anomaly_count")}, "finding_count": F.coalesce("finding_count", F.lit(0)).cast("string"),
+    }
+    entries = F.array(*(F.struct(F.lit(k).alias("metric"), F.when(v != "", v).otherwise(F.lit(".")).alias("value")) for k, v in rows.items()))
+    return wide.select("sample_id", F.explode(entries).alias("m")).select("sample_id", "m.metric", "m.value")
+
+
 def tsv(report: dict) -> str:
     return "metric\tvalue\n" + "".join(f"{k}\t{v}\n" for k, v in tsv_rows(report))
 

@@ -12,6 +12,10 @@ file, in file order as a line reader would meet it, and ``records`` only files w
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,30 +37,30 @@ RECORDS = T.StructType(
 _TRIM = r"(?U)^\s+|\s+$"
 
 
-def _chunks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, chunk (number in the file), text of every piece between ``\\n>``."""
-    parts = []
-    for ordinal, path in enumerate(paths):
-        text = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_block_start").alias("block"))
-        parts.append(text.select(F.lit(ordinal).alias("ordinal"), F.lit(path).alias("path"), "block", F.monotonically_increasing_id().alias("nth"), F.col("value").alias("chunk")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan dealt to all cores where it has fewer tasks than there are, as a file of one row
+    group has. Scans of many files or row groups stay as they are: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _lines(spark: SparkSession, paths: list[str], line_sep: str | None = None) -> DataFrame:
+    """One scan of all files: file, start of the split, number of the row in its task, text."""
+    reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
+    rows = reader.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.withColumn("nth", F.monotonically_increasing_id())
+
 
+def _plain(path: str) -> str:
+    """A path as Spark names the file, without scheme and escapes."""
+    return unquote(re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", path)) if re.match(r"^[a-z][a-z0-9+.-]*:/", path) else os.path.abspath(path)
 
-def _tails(spark: SparkSession, paths: list[str]) -> DataFrame:
+
+def _tails(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
     """Files whose last bytes are ``\\n>`` or that are ``>``: the empty header that splitting loses."""
-    rows = []
-    for ordinal, path in enumerate(paths):
-        last = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
-        # only the file's last line counts, and text readers drop the final newline
-        end = last.agg(F.max_by("value", F.struct("block", "nth")).alias("v"), F.count("*").alias("lines"))
-        rows.append(end.select(F.lit(ordinal).alias("ordinal"), (F.regexp_replace("v", r"\r+$", "") == ">").alias("bare"), "lines"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    # only the file's last line counts, and text readers drop the final newline
+    last = _lines(spark, paths).groupBy("file").agg(F.max_by("value", F.struct("block", "nth")).alias("v"))
+    return {r["file"]: r["bare"] for r in last.select("file", (F.regexp_replace("v", r"\r+$", "") == ">").alias("bare")).collect()}
 
 
 def _head(text: Column) -> Column:
@@ -78,69 +82,74 @@ def read_fasta(spark: SparkSession, paths: list[str] | str, lines: bool = False)
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no input files")
-    raw = _chunks(spark, paths)
+    raw = _lines(spark, paths, "\n>").withColumnRenamed("value", "chunk")
     newlines = F.length("chunk") - F.length(F.translate("chunk", "\n", "")) + 1
-    splits: dict[int, list] = {}
-    for r in raw.groupBy("ordinal", "block").agg(F.min("nth").alias("base"), F.count("*").alias("n"), F.sum(newlines).alias("lines")).collect():
-        splits.setdefault(r["ordinal"], []).append(r)
+    given = {_plain(p): p for p in paths}
+    splits: dict[str, list] = {}
+    for r in raw.groupBy("file", "block").agg(F.min("nth").alias("base"), F.count("*").alias("n"), F.sum(newlines).alias("lines")).collect():
+        splits.setdefault(r["file"], []).append(r)
+    path_of = {file: given[_plain(file)] for file in splits}
     known = []
-    for ordinal, rows in splits.items():
+    for file, rows in splits.items():
         chunks = line = 0
         for r in sorted(rows, key=lambda r: r["block"]):
-            known.append((ordinal, r["block"], r["base"], chunks, line))
+            known.append((file, path_of[file], r["block"], r["base"], chunks, line))
             chunks, line = chunks + r["n"], line + r["lines"]
-    # a local table of known size: broadcast where it is small enough
-    offsets = spark.createDataFrame(known, "ordinal int, block long, base long, chunks_before long, lines_before long")
+    # a local table of a row per split: broadcast where it is small enough
+    offsets = spark.createDataFrame(known, "file string, path string, block long, base long, chunks_before long, lines_before long")
     cut = (
-        raw.join(offsets, ["ordinal", "block"])
+        raw.join(offsets, ["file", "block"])
         .withColumn("k", F.col("chunks_before") + F.col("nth") - F.col("base"))
         .withColumn("is_record", (F.col("k") > 0) | F.col("chunk").startswith(">"))
         .withColumn("text", F.when((F.col("k") == 0) & F.col("is_record"), F.substring("chunk", F.lit(2), F.length("chunk"))).otherwise(F.col("chunk")))
     )
     # where a reader would stop: an empty record shows at the next header, before that is judged
-    stray = ~F.col("is_record") & (F.regexp_replace("chunk", r"[\r\n]", "") != "")
+    stray = ~F.col("is_record") & (F.regexp_replace("chunk", r"[\r\n]+", "") != "")
     at = lambda k, rank, kind: F.struct(k.alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "block", "nth", _ident(_head(F.col("text"))).alias("id"), F.regexp_extract("chunk", r"^(?:\r*\n)*", 0).alias("blank"))
     problem = (
         F.when(stray, at(F.col("k"), 1, "stray"))
         .when(F.col("is_record") & (_head(F.col("text")) == ""), at(F.col("k"), 1, "header"))
         .when(F.col("is_record") & (_body(F.col("text")) == ""), at(F.col("k") + 1, 0, "body"))
     )
-    worst = {r["ordinal"]: r for r in cut.groupBy("ordinal").agg(F.min(problem).alias("p"), F.count_if("is_record").alias("records"), F.count_if(~F.col("is_record")).alias("preamble")).collect()}
-    bare = {r["ordinal"]: r["bare"] for r in _tails(spark, paths).collect()}
-    stops = [(n, r["p"]["block"], r["p"]["nth"]) for n, r in worst.items() if r["p"]]
-    before: dict[int, int] = {}
+    worst = {r["file"]: r for r in cut.groupBy("file").agg(F.min(problem).alias("p"), F.count_if("is_record").alias("records"), F.count_if(~F.col("is_record")).alias("preamble")).collect()}
+    bare = _tails(spark, paths)
+    stops = [(file, r["p"]["block"], r["p"]["nth"]) for file, r in worst.items() if r["p"]]
+    before: dict[str, int] = {}
     if stops:
-        stop = F.broadcast(spark.createDataFrame(stops, "ordinal int, at_block long, at_nth long"))  # at most a row per input
-        earlier = raw.join(stop, "ordinal").where((F.col("block") < F.col("at_block")) | ((F.col("block") == F.col("at_block")) & (F.col("nth") < F.col("at_nth"))))
-        before = {r["ordinal"]: r["n"] for r in earlier.groupBy("ordinal").agg(F.sum(newlines).alias("n")).collect()}
+        stop = spark.createDataFrame(stops, "file string, at_block long, at_nth long")  # at most a row per input
+        earlier = raw.join(stop, "file").where((F.col("block") < F.col("at_block")) | ((F.col("block") == F.col("at_block")) & (F.col("nth") < F.col("at_nth"))))
+        before = {r["file"]: r["n"] for r in earlier.groupBy("file").agg(F.sum(newlines).alias("n")).collect()}
+    file_of = {path: file for file, path in path_of.items()}
+    bare = {path_of.get(file, given[_plain(file)]): b for file, b in bare.items()}
     found = []
-    for n, path in enumerate(paths):
-        r = worst.get(n)
+    for path in paths:
+        file = file_of.get(path)
+        r = worst.get(file)
         p = r["p"] if r else None
-        line = before.get(n, 0) + 1
+        line = before.get(file, 0) + 1
         if p and p["kind"] == "stray":
             line += p["blank"].count("\n")
             found.append((path, line, f"sequence data before the first header, line {line}"))
         elif p:
             found.append((path, line, f"empty header, line {line}" if p["kind"] == "header" else f"record without sequence: {p['id']}, line {line}"))
-        elif bare.get(n) and r and r["records"]:
-            line = 1 + sum(x["lines"] for x in splits[n])
+        elif bare.get(path) and r and r["records"]:
+            line = 1 + sum(x["lines"] for x in splits[file])
             found.append((path, line, f"empty header, line {line}"))
         elif not r or not r["records"]:
             found.append((path, 0, "no records"))
     problems = spark.createDataFrame(found, "path string, line long, message string").select("path", sample_id(F.col("path")).alias("sample_id"), "line", "message")
     bad = {f[0] for f in found}
-    preamble = [n for n, r in worst.items() if r["preamble"]]
+    preamble = [file for file, r in worst.items() if r["preamble"]]
     good = cut.where(F.col("is_record") & ~F.col("path").isin(*bad)) if bad else cut.where("is_record")
     header_line = F.lit(None)
     if lines:
-        run = W.partitionBy("ordinal", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
-        counted = raw.select("ordinal", "block", "nth", newlines.alias("n")).withColumn("sum", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
-        good = good.join(counted, ["ordinal", "block", "nth"])
+        run = W.partitionBy("file", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
+        counted = raw.select("file", "block", "nth", newlines.alias("n")).withColumn("sum", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n")
+        good = good.join(counted, ["file", "block", "nth"])
         header_line = F.col("lines_before") + F.col("sum") + 1
     records = good.withColumn("header", _head(F.col("text"))).select(
         sample_id(F.col("path")).alias("sample_id"),
-        (F.col("k") - F.when(F.col("ordinal").isin(*preamble), 1).otherwise(0) if preamble else F.col("k")).cast("long").alias("record_idx"),
+        (F.col("k") - F.when(F.col("file").isin(*preamble), 1).otherwise(0) if preamble else F.col("k")).cast("long").alias("record_idx"),
         header_line.cast("long").alias("header_line"),
         _ident(F.col("header")).alias("id"),
         "header",
@@ -167,9 +176,33 @@ def from_records(spark: SparkSession, rows: list[tuple[str, str, str]], sample:
     return spark.createDataFrame([(sample, n, None, i, h, s) for n, (i, h, s) in enumerate(rows)], RECORDS)
 
 
-def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, bytes and SHA-256 of the raw (compressed) bytes of each file."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def file_fingerprints(spark: SparkSession, paths: list[str], whole: int = 1 << 30) -> DataFrame:
+    """path, bytes and SHA-256 of the raw (compressed) bytes of each file. Files above ``whole`` bytes
+    don't fit a binary value and are read as a stream by the driver's JVM, in constant memory."""
+    files = spark.read.format("binaryFile").load(paths)
+    large = [(r["path"], r["length"]) for r in files.where(F.col("length") > whole).select("path", "length").collect()]
+    out = files.where(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if large:
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        rows = []
+        for path, size in large:
+            where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if ":" in path else path)
+            stream = where.getFileSystem(conf).open(where)
+            try:
+                rows.append((path, size, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+            finally:
+                stream.close()
+        out = out.unionByName(spark.createDataFrame(rows, "path string, bytes long, sha256 string"))
+    return out
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small file on any file system that Spark reaches; returns its path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
 
 
 def read_multiqc(spark: SparkSession, paths: list[str] | str) -> DataFrame:

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["assembly_summary", "raw_record_features", "header_flags", "duplicate_ids", "length_histogram", "gc_length_topk", "findings", "evidence_top20", "readiness", "recommended_tools", "cohort_summary"])
+@pytest.mark.parametrize("name", ["assembly_summary", "raw_record_features", "header_flags", "duplicate_ids", "length_histogram", "gc_length_topk", "findings", "evidence_top20", "readiness", "recommended_tools", "cohort_summary", "cohort_samples", "tsv_long", "structure_problems", "fasta_gzip_features", "fasta_problems", "fasta_records", "fasta_flags", "fasta_findings", "cohort_outliers_fixed"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
