@@ -45,35 +45,15 @@ class Profile:
 
 def features(records: DataFrame) -> DataFrame:
     """One narrow row per record; the sequence itself is left behind here."""
-    u = records.withColumn("u", S.ascii_upper(F.col("sequence")))
-    counted = u.select(
-        "sample_id",
-        "record_idx",
-        "id",
-        "header",
-        S.first_token(F.col("header")).alias("first_token_id"),
-        F.octet_length("sequence").cast("long").alias("length"),
-        S.count_of(F.col("u"), S.GC).alias("gc_count"),
-        S.count_of(F.col("u"), S.AT).alias("at_count"),
-        S.count_of(F.col("u"), S.N).alias("n_count"),
-        S.count_of(F.col("u"), S.AMBIGUOUS).alias("ambiguity_count"),
-        S.n_runs(F.col("u")).alias("runs"),
-        F.length(F.regexp_extract("u", "^N+", 0)).cast("long").alias("terminal_n_prefix"),
-        F.length(F.regexp_extract("u", r"N+\z", 0)).cast("long").alias("terminal_n_suffix"),
-        F.sha2("u", 256).alias("seq_hash"),
-        S.unsafe_id(F.col("id")).alias("unsafe_id"),
-        S.long_header(F.col("header")).alias("long_header"),
-        S.reserved_header_chars(F.col("header")).alias("reserved_header_chars"),
-    )
+    counted = S.with_counts(records, ["sample_id", "record_idx", "id", "header"])
     return counted.select(
-        "sample_id", "record_idx", "id", "header", "first_token_id", "length", "gc_count", "at_count", "n_count", "ambiguity_count",
+        "sample_id", "record_idx", "id", "header", S.first_token(F.col("header")).alias("first_token_id"), "length", "gc_count", "at_count", "n_count", "ambiguity_count",
         (F.col("length") - F.col("gc_count") - F.col("at_count") - F.col("ambiguity_count")).alias("invalid_count"),
-        F.coalesce(F.array_max("runs"), F.lit(0)).cast("long").alias("max_gap_run"),
-        F.size(F.filter("runs", lambda r: r == 100)).cast("long").alias("gap_run_100_count"),
-        "terminal_n_prefix", "terminal_n_suffix",
+        "max_gap_run", "gap_run_100_count", "terminal_n_prefix", "terminal_n_suffix",
         S.fraction(F.col("n_count"), F.col("length")).alias("n_fraction"),
         S.percent(F.col("gc_count"), F.col("length")).alias("gc_percent"),
-        "seq_hash", "unsafe_id", "long_header", "reserved_header_chars",
+        "seq_hash", S.unsafe_id(F.col("id")).alias("unsafe_id"), S.long_header(F.col("header")).alias("long_header"),
+        S.reserved_header_chars(F.col("header")).alias("reserved_header_chars"),
     )
 
 

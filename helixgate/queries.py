@@ -45,7 +45,7 @@ def _views(view: str):
     }[view]
     if view in ("raw", "headers"):
         return header, F.regexp_replace(text, r"\r*\n", ""), text.rlike(_HAS["lines"])
-    return header, F.regexp_replace(ascii_upper(text), f"[^{_LETTERS}]+", ""), text.rlike(_HAS["bases"])
+    return header, ascii_upper(F.regexp_replace(text, f"[^{_LETTERS}{_LETTERS.lower()}]+", "")), text.rlike(_HAS["bases"])
 
 
 def records(spark: SparkSession, sf_dir: str, view: str = "iupac") -> DataFrame:
