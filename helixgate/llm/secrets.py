@@ -11,9 +11,10 @@ and do not overlap within a rule; too short ones are dropped after matching. Pos
 points: a text split at a rule's matches gives the pieces between them, and running sums of the
 lengths of pieces and matches give every start.
 
-Defined results: null text is the empty blob and has no findings; repeated rows and paths are
-reported each; an empty table gives an empty result and leaves the ledger as it is; other columns
-are ignored.
+Defined results: null text is the empty blob and has no findings; very long texts are scanned whole;
+of equal texts the least path (a null one last) is scanned for all; spans that begin together stand in
+the order of their rules; repeated rows and paths are reported each; an empty table gives an empty
+result and leaves the ledger as it is; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     mark = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     # one text of each claimed blob: the one at the claim's path; texts stream past the claims
     texts = docs.select(mark(F.col("doc_id")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    met = texts.join(claim.select(mark(F.col("path")).alias("k"), F.col("blob").alias("own"), "todo").hint("shuffle_hash"), "k").where(digest(F.col("text")) == F.col("own"))
+    met = texts.join(claim.select(mark(F.col("path")).alias("k"), F.col("blob").alias("own"), "todo"), "k").where(digest(F.col("text")) == F.col("own"))
     per_rule = []
     for n, r in enumerate(rules):
         due = F.array_contains("todo", wanted[n])
@@ -128,4 +129,4 @@ def report(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(scan_with_ledger(read(spark, sf_dir, "documents")))
+    return report(scan_with_ledger(read(spark, sf_dir, "documents", "doc_id", "text")))

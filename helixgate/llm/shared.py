@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.fasta import spread
 from ..store import discard, fresh_path, store
 
-__all__ = ["WORD", "digest", "discard", "fresh_path", "materialize", "read", "row_mark", "take_rows", "word_count"]
+__all__ = ["WORD", "digest", "discard", "fresh_path", "materialize", "read", "row_mark", "slices", "spread", "take_rows", "tidied", "word_count"]
 
 
 #: Words are maximal runs of characters other than ASCII white space.
@@ -17,8 +22,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 materialize = store
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """A table, or some of its columns, over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*cols or "*"))
+
+
+def slices(batches, rows: int = 256):
+    """The same rows in short batches, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc: nothing to give back
+
+
+def tidied(run):
+    """A task's function that gives freed memory back to the machine when it ends: Python workers
+    are kept for other tasks, and would keep what the largest of them had needed."""
+
+    @functools.wraps(run)
+    def inner(*args):
+        try:
+            yield from run(*args)
+        finally:
+            _give_back()
+
+    return inner
 
 
 def word_count(text: Column) -> Column:

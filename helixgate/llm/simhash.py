@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import digest, discard, materialize, read, row_mark, take_rows
+from .shared import digest, discard, materialize, read, row_mark, slices, take_rows, tidied
 
 RADIUS = 2
 WIDE_RADIUS = 68
@@ -77,13 +77,13 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     kind = packed.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             doc = batch.column(0)
             texts = doc.field("text").cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(x or b"", width) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([doc, pa.array(fp)], names=["doc", "fp"])
 
-    return packed.mapInArrow(run, f"doc {kind}, fp long")
+    return packed.mapInArrow(tidied(run), f"doc {kind}, fp long")
 
 
 def _near(values: np.ndarray, starts: np.ndarray, radius: int, units: int):
@@ -294,13 +294,6 @@ def prefix_keys(h: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndar
     return np.partition(keys, n - 1)[:n] if len(h) else keys
 
 
-def _slices(batches, rows: int = 256):
-    """The same rows in short batches, so that a worker holds few texts or sets at once."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 def _texts(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -311,13 +304,13 @@ def shingle_levels(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.n
 
     def run(batches):
         counts = np.zeros(1 << bits, np.int64)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [shingle_hashes(x, width) for x in _texts(batch.column(0))]
             counts += np.bincount((np.concatenate(found) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["counter", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.select("text").mapInArrow(tidied(run), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     levels = np.zeros(1 << bits, np.uint8)
     levels[sums.column("counter").to_numpy()] = np.log2(sums.column("n").to_numpy()).astype(np.uint8)
     return levels
@@ -332,7 +325,7 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, width: int, similarity: fl
 
     def run(batches):
         seen: set[int] = set()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             ids, sizes, words, keys = [], [], [], []
             for x in _texts(batch.column("text")):
                 h = shingle_hashes(x, width)
@@ -351,7 +344,7 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, width: int, similarity: fl
             )
 
     slim = docs.select("doc_id", digest(F.col("text")).alias("digest"), "text")
-    return slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, id long, size int, {', '.join(f'{w} long' for w in _WORDS)}, keys array<long>")
+    return slim.mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, id long, size int, {', '.join(f'{w} long' for w in _WORDS)}, keys array<long>")
 
 
 def _whole_groups(batches, columns: int, work):
@@ -445,7 +438,7 @@ def verified_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width:
 
     def run(batches):
         at, ids, held, found = None, [], [], []
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for g, ident, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))):
                 if g != at:
                     if len(ids) > 1:
@@ -468,7 +461,7 @@ def verified_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width:
     spread = _dealt(named.withColumn("mark", mark), "root", blocks).select("mark", "g", "id")
     texts = docs.select(row_mark({"doc_id": F.col("doc_id").cast("string"), "digest": digest(F.col("text"))}).alias("mark"), "text")
     met = texts.join(spread, "mark").select("g", "id", "text").repartition("g").sortWithinPartitions("g", "id")
-    out = materialize(met.mapInArrow(run, "u long, v long"), "simhash-links")
+    out = materialize(met.mapInArrow(tidied(run), "u long, v long"), "simhash-links")
     discard(named)
     return out
 
@@ -531,4 +524,4 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bucke
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
