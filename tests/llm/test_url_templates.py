@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -43,7 +46,7 @@ def pages(spark, urls):
 
 
 def test_hosts_paths_and_rules(spark):
-    got = {r["page_id"]: r for r in ut.judge(pages(spark, URLS).select("page_id", "url")).collect()}
+    got = {r["page_id"]: r for r in ut.judge(pages(spark, URLS)).collect()}
     assert len(got) == len(URLS)
     for n, u in enumerate(URLS):
         host, path, rule, verdict = brute(u)
@@ -62,7 +65,7 @@ def test_templates_generalise_merge_and_reject(spark):
         urls.append(f"http://h.net/news/2024-01-{n % 28 + 1:02d}/{n:08x}a1")
         labels.append(None)
     df = spark.createDataFrame([(n, u, x) for n, (u, x) in enumerate(zip(urls, labels))], "page_id long, url string, label boolean")
-    got = {r["page_id"]: r for r in ut.judge(df, rules=()).collect()}
+    got = {r["page_id"]: r for r in ut.judge(df, rules=(), label="label").collect()}
     kinds = {(r["template"], r["verdict"]) for r in got.values()}
     assert {k for k in kinds if k[0].endswith("/view")} == {("/shop/<any>/view", "block")}
     assert {k for k in kinds if k[0].endswith(".html")} == {("/<any>/<number>.html", "allow")}
@@ -71,13 +74,114 @@ def test_templates_generalise_merge_and_reject(spark):
 
 def test_repeats_deep_paths_and_empty(spark):
     deep = "http://h.net/" + "/".join(f"s{chr(97 + k)}" for k in range(20))
-    got = ut.judge(pages(spark, [deep, deep, None, None]).select("page_id", "url")).collect()
-    assert len(got) == 4
-    assert {r["template"] for r in got if r["host"] == "h.net"} == {"/sa/sb/sc/sd/se/sf/sg/sh/<tail>"}
-    assert ut.judge(pages(spark, []).select("page_id", "url")).count() == 0
+    other = deep[:-2] + "zz"
+    got = ut.judge(pages(spark, [deep, deep, None, None, other, other])).collect()
+    assert len(got) == 6
+    assert {r["template"] for r in got if r["host"] == "h.net"} == {deep[12:-3] + "/<any>"}
+    assert ut.judge(pages(spark, [])).count() == 0
+
+
+MASKS = [(r"\d{4}-\d\d-\d\d", "<date>"), (r"\d+", "<number>"), (r"(?=.*\d)[0-9a-fA-F-]{8,}", "<hex>"), (r"(?=.*\d)(?=.*[A-Za-z]).{8,}", "<id>")]
+
+
+def mask(segment):
+    ext = re.search(r"\.[A-Za-z][A-Za-z0-9]{0,4}$", segment)
+    ext = ext.group() if ext else ""
+    name = segment[: len(segment) - len(ext)]
+    return next((kind + ext for pattern, kind in MASKS if re.fullmatch(pattern, name)), segment)
+
+
+def tree_of(rows, tree=ut.Tree()):
+    """(host, masked segments, label) rows -> (template, purity) of each, by recursion over the tree."""
+    template = [None] * len(rows)
+
+    def like(a, n, b, m):
+        return n == 0 or m == 0 or abs(a / n - b / m) < math.sqrt(0.5 * math.log(2 / tree.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def grow(members, depth, node):
+        for k in members:
+            if len(rows[k][1]) == depth:
+                template[k] = node
+        kids = defaultdict(list)
+        for k in members:
+            if len(rows[k][1]) > depth:
+                kids[rows[k][1][depth]].append(k)
+        facts, pools = {}, defaultdict(list)
+        for name, ks in kids.items():
+            n, ends = len(ks), sum(len(rows[k][1]) == depth + 1 for k in ks)
+            wild = sum(len(rows[k][1]) > depth + 1 and rows[k][1][depth + 1].startswith("<") for k in ks)
+            block, allow = sum(rows[k][2] is True for k in ks), sum(rows[k][2] is False for k in ks)
+            on = n - ends - wild
+            facts[name] = (n, ends, wild, block, allow)
+            if not name.startswith("<"):
+                pools[block + allow > 0, "wild" if wild >= max(ends, on) else "end" if ends >= on else "literal"].append(name)
+        merged = {}
+        for names in pools.values():
+            total = [sum(facts[x][i] for x in names) for i in range(5)]
+            for x in names:
+                n, ends, wild, block, allow = facts[x]
+                rn, rends, rwild, rblock, rallow = (t - f for t, f in zip(total, facts[x]))
+                if len(names) > 1 and like(ends, n, rends, rn) and like(wild, n, rwild, rn) and like(block, block + allow, rblock, rblock + rallow):
+                    merged[x] = "<any>"
+        after = defaultdict(list)
+        for name, ks in kids.items():
+            after[merged.get(name, name)] += ks
+        for name, ks in after.items():
+            grow(ks, depth + 1, f"{node}/{name}")
+
+    for host in {r[0] for r in rows}:
+        grow([k for k, r in enumerate(rows) if r[0] == host], 0, "")
+    def chain(k):
+        parts = [x for x in template[k].split("/") if x]
+        host = rows[k][0]
+        domain = re.search(r"([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]+))$", host)
+        return ["all", f"domain {domain.group() if domain else ''}", f"host {host}", *(f"{host} {'/'.join(parts[: n + 1])}" for n in range(len(parts)))]
+
+    sums = defaultdict(lambda: [0, 0])
+    for k, r in enumerate(rows):
+        if r[2] is not None:
+            for node in chain(k):
+                sums[node][0] += r[2]
+                sums[node][1] += 1
+    out = []
+    for k in range(len(rows)):
+        purity = tree.prior[0] / sum(tree.prior)
+        for node in chain(k):
+            purity = (sums[node][0] + tree.backoff * purity) / (sums[node][1] + tree.backoff)
+        out.append((template[k], purity))
+    return out
+
+
+def held_against_the_tree(spark, urls):
+    split = [brute(u) for u in urls]
+    label = lambda v: None if v is None else v == "block"
+    want = tree_of([(h, [mask(x) for x in p.split("/") if x], label(v)) for h, p, _, v in split])
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in ut.judge(df).collect()}
+    for n, (template, purity) in enumerate(want):
+        assert got[n]["template"] == template
+        assert got[n]["purity"] == pytest.approx(purity, abs=1e-12)
+        assert got[n]["verdict"] == (split[n][3] or ("block" if purity >= 0.8 else "allow"))
+    return got
+
+
+def test_equals_a_tree_in_python(spark):
+    r = random.Random(3)
+    hosts = ["a.com", "b.com", "x.a.com", "c.net", "d.co.uk", "e.f.co.uk", "org"]
+    words = ["fr", "de", "en", "shop", "item", "about", "blog", "v2", "12", "77", "2024-01-31", "deadbeef01"]
+    urls = [f"http://{r.choice(hosts)}/" + "/".join(r.choices(words, k=r.randrange(0, 6))) for _ in range(900)]
+    urls += [f"http://c.net/p/{r.randrange(10**6):x}/z{n}" for n in range(60)] + [f"http://q{n % 4}.com/de/{'abc'[n % 3]}" for n in range(40)] + URLS
+    held_against_the_tree(spark, urls)
+
+
+def test_equals_a_tree_in_python_on_the_table(spark):
+    urls = [r["url"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()]
+    got = held_against_the_tree(spark, urls)
+    free = [r for r in got.values() if r["rule"] is None]
+    assert sum(abs(r["purity"] - 0.5) > 0.01 for r in free) > len(free) / 2
 
 
 @pytest.mark.parametrize("segment,mask", [("12", "<number>"), ("12.html", "<number>.html"), ("2024-01-31", "<date>"), ("deadbeef12", "<hex>"), ("abc12345xyz", "<id>"), ("about", "about"), ("v2", "v2")])
 def test_masks(spark, segment, mask):
-    got = ut.judge(pages(spark, [f"http://h.net/{segment}"]).select("page_id", "url")).first()
+    got = ut.judge(pages(spark, [f"http://h.net/{segment}"])).first()
     assert got["template"] == f"/{mask}"
