@@ -6,22 +6,31 @@ minimum-covariance-determinant (MCD) estimate of location and scatter is compute
 rows of the group, and a document is rejected when its squared Mahalanobis distance exceeds
 ``cutoff``.
 
-The MCD is the deterministic variant: concentration steps start from coordinate-wise medians
-and MADs. A concentration step never gathers a group: distances are counted in fine
-logarithmic bins (group, bin), the bin that completes the h-subset is found over those counts,
-and the subset's moments are sums of products. Vector entries are fixed-point integers, so
+The MCD is the deterministic variant with a regularised determinant: three starts (medians and MADs
+alone, with the correlations of tanh scores, and with those of spatial signs) each take concentration
+steps until the determinant of their scatter falls no more, and the start with the least determinant
+is kept. ``floor_sd`` is added to every scatter, since repeats are nil in most texts and their own
+spread in the subset may be nil. Rows within the 97.5 % point of chi-square then give the final mean
+and scatter, scaled to a normal sample's median, and a document is rejected when its squared distance
+exceeds the point of chi-square that a share ``tail`` of a normal sample would exceed.
+
+A concentration step never gathers a group: distances are counted in fine logarithmic bins (group,
+bin), at most some thousands to a group, the bin that completes the h-subset is found over those
+counts, and the subset's moments are sums of products. Vector entries are fixed-point integers, so
 sums are exact and reruns agree bit for bit whatever the partitioning. A group that holds most
 rows is pre-aggregated map-side like any other.
 
-Defined results: null text counts as no words (and fails the limits); null language or source
-is a group of its own; groups under ``min_group`` rows use their language's pool of such
-groups, then the pool of all of them, and without ``min_group`` rows there nothing is rejected
-by distance; repeated rows are judged one by one; extra columns are kept by ``filter_documents``
-and ignored by ``quality_rules``; an empty table gives an empty result.
+Defined results: null text counts as no words (and fails the limits); very long texts are counted whole;
+null language or source is a group of its own; rows whose distances tie share a bin and enter a subset
+together; groups under ``min_group`` rows use the pool of such groups of their language, then the
+whole language, then all rows, however few; repeated rows are judged one by one; extra columns,
+whatever their names, are kept by ``filter_documents`` and ignored by ``quality_rules``; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import materialize, read
+from .shared import discard, materialize, read, slices, tidied
 
 SYMBOLS = b"#*$%&|<>"
 _WS = b" \t\n\x0b\x0c\r"
@@ -50,13 +59,30 @@ class Rules:
     min_group: int = 200
     #: share of a group's rows in the concentrated subset
     subset: float = 0.75
-    steps: int = 6
-    #: squared distance beyond which a document is rejected
-    cutoff: float = 60.0
-    #: spread that is ordinary in any group, per entry in fixed-point units (1000 = 1.0), added to
-    #: the scatter: repeats are nil in most texts, so their own spread in the subset may be nil
+    #: concentration steps at most; determinants settle well before
+    max_steps: int = 30
+    #: share of a normal sample that would be rejected
+    tail: float = 1e-9
+    #: spread that is ordinary in any group, per entry in fixed-point units (1000 = 1.0)
     floor_sd: tuple[int, ...] = (60, 60, 150, 150, 60)
 
+    @property
+    def cutoff(self) -> float:
+        return chi_square_point(self.tail)
+
+
+def chi_square_point(tail: float) -> float:
+    """The value that chi-square with DIMS = 5 degrees of freedom exceeds with probability ``tail``."""
+
+    def exceeds(x):
+        return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if exceeds(mid) > tail else (low, mid)
+    return low
+
 
 def text_stats(data: bytes) -> tuple[int, ...]:
     """The counts of STATS for one UTF-8 text."""
@@ -99,13 +125,13 @@ def with_stats(docs: DataFrame) -> DataFrame:
     kind = packed.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             doc = batch.column(0)
             texts = doc.field("text").cast(pa.binary()).to_pylist()
             rows = np.array([text_stats(x or b"") for x in texts], np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([doc, *(pa.array(rows[:, k]) for k in range(len(STATS)))], names=["doc", *STATS])
 
-    return packed.mapInArrow(run, f"doc {kind}, " + ", ".join(f"{s} long" for s in STATS))
+    return packed.mapInArrow(tidied(run), f"doc {kind}, " + ", ".join(f"{s} long" for s in STATS))
 
 
 def _vector() -> list[F.Column]:
@@ -130,24 +156,19 @@ def _keys() -> dict[str, F.Column]:
     return {"l": mark("doc.lang"), "s": mark("doc.source")}
 
 
-def _groups(rows: DataFrame, rules: Rules) -> DataFrame:
-    """l, s and the group ``g`` that their rows use; null where even the last pool is too small."""
+def _groups(rows: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """(uses, members): l, s and the group ``g`` whose estimate their rows use, and l, s and each group
+    ``g`` that they are members of. Small groups are members of their pool too, and of their language
+    or of all rows where some group falls back on these."""
     sizes = materialize(rows.groupBy("l", "s").agg(F.count("*").alias("n")), "quality-sizes")
-    few = sizes.where(F.col("n") < rules.min_group)
-    pool = few.groupBy("l").agg(F.sum("n").alias("p"))
-    last = pool.where(F.col("p") < rules.min_group).agg(F.sum("p").alias("q"))
-    return (
-        sizes.join(pool, "l", "left")
-        .crossJoin(F.broadcast(last))  # one row
-        .select(
-            "l",
-            "s",
-            F.when(F.col("n") >= rules.min_group, F.to_json(F.struct("l", "s")))
-            .when(F.col("p") >= rules.min_group, F.to_json(F.struct("l")))
-            .when(F.col("q") >= rules.min_group, F.lit("{}"))
-            .alias("g"),
-        )
-    )
+    sums = sizes.groupBy("l").agg(F.sum(F.when(F.col("n") < rules.min_group, F.col("n"))).alias("p"), F.sum("n").alias("whole"))
+    own, pool, whole = F.to_json(F.struct("l", "s")), F.to_json(F.struct("l", F.lit("few").alias("of"))), F.to_json(F.struct("l", F.lit("all").alias("of")))
+    enough = lambda c: F.col(c) >= rules.min_group
+    uses = sizes.join(sums, "l").select("l", "s", "n", F.when(enough("n"), own).when(enough("p"), pool).when(enough("whole"), whole).otherwise(F.lit("{}")).alias("g"))
+    uses = materialize(uses, "quality-groups")
+    may = F.array(own, F.when(F.col("n") < rules.min_group, pool), whole, F.lit("{}"))
+    members = uses.select("l", "s", F.explode(F.filter(may, lambda x: x.isNotNull())).alias("g")).join(uses.select("g").distinct(), "g", "left_semi")
+    return uses.select("l", "s", "g"), members
 
 
 def _nth(counts: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
@@ -177,72 +198,118 @@ def _bin() -> F.Column:
     return F.floor(F.log2(1 + F.col("d2") * 16) * 64).cast("int")
 
 
+def _moments(rows: DataFrame) -> DataFrame:
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)]
+    products = [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(38,0)")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
+    return rows.groupBy("g", "start").agg(F.count("*").alias("n"), *sums, *products)
+
+
+def _scatter(r) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from a row of ``_moments``."""
+    n = int(r.n)
+    s = [int(getattr(r, f"s{i}")) for i in range(DIMS)]
+    cov = np.empty((DIMS, DIMS))
+    for i in range(DIMS):
+        for j in range(i, DIMS):
+            cov[i, j] = cov[j, i] = (n * int(getattr(r, f"p{i}{j}")) - s[i] * s[j]) / (n * n)  # whole numbers up to here
+    return np.array(s) / n, cov
+
+
+PARAMS = "g string, start int, mean array<double>, inv array<double>, logdet double"
+
+
+def _row(g, start, mean, cov) -> tuple:
+    return g, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
 def _solve(moments: DataFrame, rules: Rules) -> DataFrame:
-    """Mean and inverse scatter of every group from its sums: one small row per group."""
+    """PARAMS of every group and start from its sums: one small row for each."""
     floor2 = np.diag([float(x) ** 2 for x in rules.floor_sd])
 
     def run(frames):
         for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                n = float(r.n)
-                mean = np.array([float(getattr(r, f"s{i}")) for i in range(DIMS)]) / n
-                cov = np.empty((DIMS, DIMS))
-                for i in range(DIMS):
-                    for j in range(i, DIMS):
-                        cov[i, j] = cov[j, i] = float(getattr(r, f"p{i}{j}")) / n - mean[i] * mean[j]
-                cov += floor2
-                out.append((r.g, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["g", "mean", "inv"])
-
-    return moments.mapInPandas(run, "g string, mean array<double>, inv array<double>")
+            out = [_row(r.g, r.start, *((mean, cov + floor2))) for r in f.itertuples(index=False) for mean, cov in [_scatter(r)]]
+            yield pd.DataFrame(out, columns=["g", "start", "mean", "inv", "logdet"])
 
+    return moments.mapInPandas(run, PARAMS)
 
-def _moments(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)]
-    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
-    return rows.groupBy("g").agg(F.count("*").alias("n"), *sums, *products)
 
-
-def mcd(rows: DataFrame, rules: Rules) -> DataFrame:
-    """``rows``: g, x0..x4. Returns g, mean, inv (of the raw scatter) and scale, which makes the
-    median squared distance that of a normal sample."""
+def _starts(rows: DataFrame, rules: Rules) -> DataFrame:
+    """PARAMS of the three starts of every group."""
+    floors = [float(x) ** 2 for x in rules.floor_sd]
     long = rows.select("g", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x")) for k in range(DIMS)))).alias("e")).select("g", "e.k", "e.x")
     counts = materialize(long.groupBy("g", "k", "x").agg(F.count("*").alias("n")), "quality-counts")
     med = _nth(counts, ["g", "k"], "x", 0.5, "med")
     spread = counts.join(med, ["g", "k"]).withColumn("a", F.abs(F.col("x") - F.col("med"))).groupBy("g", "k", "a").agg(F.sum("n").alias("n"))
-    floors = F.array(*(F.lit(float(x)) for x in rules.floor_sd))
-    start = (
-        med.join(_nth(spread, ["g", "k"], "a", 0.5, "mad"), ["g", "k"])
-        .groupBy("g")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "med", "mad"))).alias("e"))
-        .select(
-            "g",
-            F.transform("e", lambda e: e["med"].cast("double")).alias("mean"),
-            F.flatten(
-                F.transform("e", lambda e: F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda j: F.when(j == e["k"], 1.0 / (F.pow(1.4826 * e["mad"], 2) + F.pow(floors[e["k"]], 2))).otherwise(0.0)))
-            ).alias("inv"),
-        )
+    sd = F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + F.element_at(F.array(*(F.lit(x) for x in floors)), F.col("k") + 1))
+    center = med.join(_nth(spread, ["g", "k"], "a", 0.5, "mad"), ["g", "k"]).select("g", "k", "med", sd.alias("sd"))
+    center = center.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "med", "sd"))).alias("e"))
+    center = materialize(center.select("g", F.col("e.med").alias("med"), F.col("e.sd").alias("sd")), "quality-center")
+    discard(counts)
+    z = [(F.col(f"x{k}") - F.col("med")[k]) / F.col("sd")[k] for k in range(DIMS)]
+    norm = F.sqrt(sum((c * c for c in z), F.lit(0.0)))
+    fixed = lambda c: F.round(c * 10_000).cast("long")
+    scores = F.array(
+        F.struct(F.lit(1).alias("start"), *(fixed(F.tanh(c)).alias(f"x{k}") for k, c in enumerate(z))),
+        F.struct(F.lit(2).alias("start"), *(fixed(F.when(norm > 0, c / norm).otherwise(0.0)).alias(f"x{k}") for k, c in enumerate(z))),
     )
-    params = materialize(start, "quality-start")
-    for _ in range(rules.steps):
-        near = rows.join(params, "g").withColumn("d2", _distance()).withColumn("b", _bin())
-        limit = _nth(near.groupBy("g", "b").agg(F.count("*").alias("n")), ["g"], "b", rules.subset, "limit")
-        params = materialize(_solve(_moments(near.join(limit, "g").where("b <= limit")), rules), "quality-step")
+    scored = rows.join(center, "g").select("g", F.explode(scores).alias("v")).select("g", "v.*")
+    with_center = _moments(scored).join(center, "g")
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                med, sd = np.array(r.med, float), np.array(r.sd, float)
+                cov = _scatter(r)[1]
+                one = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+                corr = cov / np.outer(one, one)
+                np.fill_diagonal(corr, 1.0)
+                # half of the floor stays on the diagonal alone, so that no start is singular
+                out.append(_row(r.g, r.start, med, np.outer(sd, sd) * corr + np.diag(floors) / 2))
+                if r.start == 1:
+                    out.append(_row(r.g, 0, med, np.diag(sd**2)))
+            yield pd.DataFrame(out, columns=["g", "start", "mean", "inv", "logdet"])
+
+    return materialize(with_center.mapInPandas(run, PARAMS), "quality-starts")
+
+
+def _scale(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``params`` with ``scale``, which makes the median squared distance that of a normal sample."""
     near = rows.join(params, "g").withColumn("d2", _distance()).withColumn("b", _bin())
     middle = _nth(near.groupBy("g", "b").agg(F.count("*").alias("n")), ["g"], "b", 0.5, "b")
-    #: median of chi-square with DIMS degrees of freedom
-    chi_median = DIMS * (1 - 2 / (9 * DIMS)) ** 3
+    chi_median = chi_square_point(0.5)
     return params.join(middle, "g").select("g", "mean", "inv", F.greatest(F.lit(1.0), (F.pow(2.0, (F.col("b") + 1) / 64) - 1) / 16 / chi_median).alias("scale"))
 
 
+def mcd(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``rows``: g, x0..x4. Returns g, mean, inv (of the reweighted scatter) and scale."""
+    params = _starts(rows, rules)
+    for _ in range(rules.max_steps):
+        near = rows.join(params, "g").withColumn("d2", _distance()).withColumn("b", _bin())
+        limit = _nth(near.groupBy("g", "start", "b").agg(F.count("*").alias("n")), ["g", "start"], "b", rules.subset, "limit")
+        new = materialize(_solve(_moments(near.join(limit, ["g", "start"]).where("b <= limit")), rules), "quality-step")
+        settled = new.join(params.select("g", "start", F.col("logdet").alias("before")), ["g", "start"]).where("logdet < before - 1e-6").isEmpty()
+        discard(params)
+        params = new
+        if settled:
+            break
+    best = params.groupBy("g").agg(F.min_by(F.struct("mean", "inv"), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+    raw = materialize(_scale(rows, best), "quality-raw")
+    inside = rows.join(raw, "g").where(_distance() <= F.col("scale") * chi_square_point(0.025)).withColumn("start", F.lit(0))
+    final = materialize(_solve(_moments(inside), rules).select("g", "mean", "inv"), "quality-final")
+    return _scale(rows, final)
+
+
 def estimates(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """From the counts of all documents, per language and source (l, s): mean, inv and scale."""
     fit = stats.where(_fits(rules)).select(*(c.alias(n) for n, c in _keys().items()), *_vector())
     fit = materialize(fit, "quality-vectors")
-    groups = materialize(_groups(fit, rules).where("g is not null"), "quality-groups")
-    known = fit.join(groups, ["l", "s"]).select("g", *(f"x{k}" for k in range(DIMS)))
-    return materialize(groups.join(mcd(known, rules), "g").drop("g"), "quality-estimates")
+    uses, members = _groups(fit, rules)
+    known = materialize(fit.join(members, ["l", "s"]).select("g", *(f"x{k}" for k in range(DIMS))), "quality-members")
+    out = materialize(uses.join(mcd(known, rules), "g").drop("g"), "quality-estimates")
+    discard(fit, known)
+    return out
 
 
 def judge(stats: DataFrame, est: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -276,5 +343,5 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = quality_rules(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
