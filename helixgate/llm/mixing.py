@@ -6,15 +6,17 @@ reshared by weight, which has a closed form over the sources sorted by cap per w
 document of a source is due target / size copies on average: the whole part it gets, the
 fraction is rounded by the pivotal method. A source's documents are dealt to leaves of about ``fan``
 documents by size (their place follows from counts per size class and a hash); in a leaf, from large to
-small, neighbours transfer their fractions to one another at random until one of them is 0 or 1; the
-leaf's one residual goes up a reduction tree whose nodes join ``fan`` children, and the last
-residual of a source is drawn with its own probability. Every step keeps each document's
-expectation and each leaf's total, so a source's words come close to its target.
+small, neighbours transfer words, not copies, to one another at random until the fraction of one of
+them is 0 or 1; the leaf's one residual goes up a reduction tree whose nodes join ``fan`` children, and
+the last residual of a source is drawn with its own probability. Every transfer keeps each document's
+expectation and the sum of fraction times size, so a source takes its target's words but for what the
+last residual is rounded by: less than one document.
 
 Nothing is gathered but leaves, and their count follows the count of documents. Random numbers
 are hashes of the documents' identities, so reruns agree.
 
-Defined results: null text has size 0; size-0 documents take nothing; a source without words has
+Defined results: null text has size 0; very long texts are counted whole; ties in size are ordered by a
+hash; size-0 documents take nothing; a source without words has
 target 0; rows with equal doc_id, source and size (and text, in ``mix_documents``) form one unit
 that is rounded as a whole and shared out evenly; an empty table gives an empty result; other
 columns are ignored by ``mix`` and kept by ``mix_documents``.
@@ -60,17 +62,16 @@ def _pivot(items: Column, seed: int, level: int) -> Column:
 
     def step(s, x):
         a, p, q = s["item"], s["p"], x["p"]
-        total = p + q
-        u = _uniform(F.lit(seed), F.lit(level), a["tie"], x["tie"])
-        low = total < 1.0
-        # below 1 one of the two falls to 0, else one of them rises to 1
-        new_stays = F.when(low, u * total < q).otherwise(u < (1.0 - q) / (2.0 - total))
-        left = F.when(new_stays, a["unit"]).otherwise(x["unit"])
-        return F.struct(
-            F.when(new_stays, x).otherwise(a).alias("item"),
-            F.when(low, total).otherwise(total - 1.0).alias("p"),
-            F.concat(s["done"], F.array(F.struct(left.alias("unit"), (~low).alias("up")))).alias("done"),
-        )
+        m, n = a["unit"]["size"].cast("double"), x["unit"]["size"].cast("double")
+        # words that one can give the other before a fraction reaches 0 or 1
+        up, down = F.least((1.0 - p) * m, q * n), F.least(p * m, (1.0 - q) * n)
+        rises = F.coalesce(_uniform(F.lit(seed), F.lit(level), a["tie"], x["tie"]) * (up + down) < down, F.lit(False))
+        first_done = F.when(rises, (1.0 - p) * m <= q * n).otherwise(p * m <= (1.0 - q) * n)
+        within = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+        left = F.when(first_done, within(F.when(rises, q - up / n).otherwise(q + down / n))).otherwise(within(F.when(rises, p + up / m).otherwise(p - down / m)))
+        # the first is done at 1 where it has risen, the second where the first has fallen
+        done = F.struct(F.when(first_done, a["unit"]).otherwise(x["unit"]).alias("unit"), (first_done == rises).alias("up"))
+        return F.struct(F.when(first_done, x).otherwise(a).alias("item"), left.alias("p"), F.concat(s["done"], F.array(done)).alias("done"))
 
     ordered = F.array_sort(items)
     head = ordered[0]
@@ -131,11 +132,16 @@ def _decide(rows: DataFrame, weights: tuple[int, ...], cap: int, fan: int, seed:
     return rounded.select("unit.*", (F.col("unit.base") + F.col("up").cast("long")).alias("copies")).drop("base")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, fan: int = 100, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, fan: int = 100, seed: int = 42, run: int = 10_000) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's) and taken words."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.lit("").alias("digest"))
-    decided = _decide(rows, weights, cap, fan, seed)
-    each = decided.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    decided = materialize(_decide(rows, weights, cap, fan, seed), "mixing-decided")
+    # a row repeated very often is dealt out in runs, so that no task unfolds it alone
+    one = F.lit(1).cast("long")
+    few = decided.where(F.col("m") <= run).withColumn("r", F.explode(F.sequence(one, F.col("m"))))
+    runs = decided.where(F.col("m") > run).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / run))))
+    many = runs.repartition("doc_id", "k").withColumn("r", F.explode(F.sequence(F.col("k") * run + 1, F.least((F.col("k") + 1) * run, F.col("m"))))).drop("k")
+    each = few.unionByName(many)
     copies = F.floor(F.col("copies") / F.col("m")) + (F.col("r") <= F.col("copies") % F.col("m")).cast("long")
     return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
@@ -149,4 +155,4 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))
+    return mix(read(spark, sf_dir, "documents", "doc_id", "source", "text"))

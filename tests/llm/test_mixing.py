@@ -50,6 +50,28 @@ def test_words_come_near_targets_and_reruns_agree(spark):
     assert sorted(mixing.mix(docs.repartition(5), fan=50).collect()) == sorted(out)
 
 
+def test_words_of_the_small_table_are_within_two_percent(spark):
+    """Words taken of each source of sf0.01; a source may miss by its largest document at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    taken, target, largest = defaultdict(int), {}, defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        s = source[r["doc_id"]]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        largest[s] = max(largest[s], r["size"])
+    for s, t in target.items():
+        assert abs(taken[s] - t) < largest[s] + 1
+        assert largest[s] > 0.02 * t or abs(taken[s] - t) < 0.02 * t
+
+
+def test_a_row_repeated_very_often(spark):
+    docs = documents(spark, [row(5, text(10, 1), source="a")] * 95 + [row(6, text(10, 2), source="b")] * 5)
+    out = mixing.mix(docs, run=10).collect()
+    assert len(out) == 100 and sum(r["taken"] for r in out if r["doc_id"] == 6) == 150
+    assert abs(sum(r["taken"] for r in out if r["doc_id"] == 5) - 850) <= 10
+
+
 def test_expectations_are_kept(spark):
     docs = documents(spark, [row(n, text(10, n), source="ab"[n % 2]) for n in range(40)])
     sums = defaultdict(int)
