@@ -10,10 +10,14 @@ passage within the budget is missed.
 Documents never move: the test items, a stated query set, go to the tasks in blocks of at most
 ``block_chars`` characters, one pass over the documents for each block.
 
-Defined results: null or blank documents match nothing; items under ``min_words`` words (null and
-blank ones too) are no evidence and are left out; items that repeat a text are reported with each
-of their ids; repeated documents are reported each; extra columns are ignored by ``matches`` and
-kept by ``clean_documents``; without items every document is clean.
+Items of every length are looked for. One of under ``edit_words`` words has no error budget and counts
+where it stands by itself, between white space or punctuation: within a word it is no evidence.
+
+Defined results: null or blank documents match nothing, and null or blank items nothing either; very
+long documents and items are compared whole; of several equally good matches of an item the first is
+given; items that repeat a text are reported with each of their ids, ids of any type; repeated documents
+are reported each; extra columns, whatever their names, are ignored by ``matches`` and kept by
+``clean_documents``; without items, or with an empty table, every document is clean.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import read
+from .shared import read, slices, tidied
 
 CHARS_PER_EDIT = 16
-MIN_WORDS = 5
+EDIT_WORDS = 5
 BLOCK_CHARS = 1_000_000
 
 
@@ -66,11 +71,12 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
 class Matcher:
     """A block of items: texts by number, and the automaton over their pieces."""
 
-    def __init__(self, items: list[str], chars_per_edit: int):
+    def __init__(self, items: list[str], chars_per_edit: int, edit_words: int = EDIT_WORDS):
         import ahocorasick
 
         self.items = items
-        self.budget = [len(x) // chars_per_edit for x in items]
+        self.alone = [x.count(" ") + 1 < edit_words for x in items]
+        self.budget = [0 if short else len(x) // chars_per_edit for x, short in zip(items, self.alone)]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, x in enumerate(items):
             parts = self.budget[n] + 1
@@ -96,9 +102,11 @@ class Matcher:
             item, k = self.items[n], self.budget[n]
             best = None
             exact = sorted(s for s in starts[n] if s >= 0 and text.startswith(item, s))
+            if self.alone[n]:
+                exact = [s for s in exact if not text[s - 1 : s].isalnum() and not text[s + len(item) : s + len(item) + 1].isalnum()]
             if exact:
                 best = (0, exact[0] + len(item))
-            else:
+            elif not self.alone[n]:
                 # windows around the proposed starts, joined where they touch
                 reach = 0
                 spans: list[list[int]] = []
@@ -122,24 +130,24 @@ class Matcher:
 _built: dict[str, Matcher] = {}
 
 
-def _matcher(key: str, items: list[str], chars_per_edit: int) -> Matcher:
+def _matcher(key: str, items: list[str], chars_per_edit: int, edit_words: int) -> Matcher:
     """The block's matcher, built once in each Python worker; one is held at a time."""
     if key not in _built:
         _built.clear()
-        _built[key] = Matcher(items, chars_per_edit)
+        _built[key] = Matcher(items, chars_per_edit, edit_words)
     return _built[key]
 
 
-def blocks(benchmark: DataFrame, min_words: int, block_chars: int) -> Iterator[tuple[list[str], list[list[int]]]]:
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list[str], list[list]]]:
     """Distinct item texts with their ids, in blocks of bounded size."""
     texts: list[str] = []
-    ids: list[list[int]] = []
+    ids: list[list] = []
     size = 0
     rows = benchmark.where("text is not null").groupBy("text").agg(F.collect_list("item_id").alias("ids"))
     by: dict[str, int] = {}
     for row in rows.toLocalIterator():
         item = normalize(row["text"].encode())
-        if item.count(" ") + 1 < min_words:
+        if not item:
             continue
         if item in by:
             ids[by[item]] += row["ids"]
@@ -155,45 +163,48 @@ def blocks(benchmark: DataFrame, min_words: int, block_chars: int) -> Iterator[t
         yield texts, ids
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, edit_words: int = EDIT_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance, and start-free
     ``end_char``, where the best match ends in the normalised text."""
     slim = docs.select("doc_id", "text")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, distance long, end_char long"
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
-    for texts, ids in blocks(benchmark, min_words, block_chars):
+    for texts, ids in blocks(benchmark, block_chars):
         key = uuid.uuid4().hex
 
         def run(batches, key=key, texts=texts, ids=ids):
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
-                matcher = _matcher(key, texts, chars_per_edit)
-                for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                matcher = _matcher(key, texts, chars_per_edit, edit_words)
+                for at, data in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                     for n, distance, end in matcher.find(normalize(data or b"")):
-                        rows += [(doc, item, distance, end) for item in ids[n]]
-                cols = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "end_char"])
+                        rows += [(at, item, distance, end) for item in ids[n]]
+                at, item, distance, end = list(zip(*rows)) or [()] * 4
+                cols = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, kind), pa.array(distance, pa.int64()), pa.array(end, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "distance", "end_char"])
 
-        part = slim.mapInArrow(run, "doc_id long, item_id long, distance long, end_char long")
+        part = slim.mapInArrow(tidied(run), schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long, end_char long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, edit_words: int = EDIT_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no test item, with all their columns, decided where they lie."""
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
     schema = packed.schema
-    for texts, _ in blocks(benchmark, min_words, block_chars):
+    for texts, _ in blocks(benchmark, block_chars):
         key = uuid.uuid4().hex
 
         def run(batches, key=key, texts=texts):
-            for batch in batches:
-                matcher = _matcher(key, texts, chars_per_edit)
+            for batch in slices(batches):
+                matcher = _matcher(key, texts, chars_per_edit, edit_words)
                 data = batch.column(0).field("text").cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([not matcher.find(normalize(x or b""), first_only=True) for x in data], pa.bool_()))
 
-        packed = packed.mapInArrow(run, schema)
+        packed = packed.mapInArrow(tidied(run), schema)
     return packed.select("doc.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return matches(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))

@@ -56,6 +56,22 @@ def test_planted_items(spark):
     assert sorted(r["doc_id"] for r in clean.collect()) == [2, 4, 5]
 
 
+def test_short_items_count_where_they_stand_alone(spark):
+    bench = items(spark, [(1, "Paris"), (2, "too  short here"), (3, "comparison of fire")])
+    rows = [row(1, "I saw paris, twice"), row(2, "a comparison"), row(3, "it is TOO short\nhere."), row(4, "comparisons of fires")]
+    got = {(r["doc_id"], r["item_id"]) for r in dc.matches(documents(spark, rows), bench).collect()}
+    assert got == {(1, 1), (3, 2)}
+    assert {r["doc_id"] for r in dc.clean_documents(documents(spark, rows), bench).collect()} == {2, 4}
+
+
+def test_ids_of_any_type_and_many_blocks(spark):
+    passages = [text(12, 50 + n, line=99) for n in range(6)]
+    docs = spark.createDataFrame([(f"d{n}", text(30, n) + " " + passages[n % 6]) for n in range(12)], "doc_id string, text string")
+    bench = spark.createDataFrame([(f"i{n}", x) for n, x in enumerate(passages)], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.matches(docs, bench, block_chars=100).collect()}
+    assert got == {(f"d{n}", f"i{n % 6}") for n in range(12)}
+
+
 def test_hard_and_empty(spark):
     docs = hard(spark)
     bench = items(spark, [(1, text(30, 45, line=999)), (2, text(25, 777))])
