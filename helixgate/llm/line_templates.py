@@ -11,10 +11,14 @@ All passes but two carry digests of lines: leaves, lines and templates are count
 hashes, combined map-side. Texts move twice, streamed past short lists of line numbers: once to
 fetch one copy of each distinct line of the recurring leaves, once to be rebuilt.
 
-Defined results: null text has no lines and stays null; blank lines are never dropped and count
-in n_lines; a line that repeats within one document counts once for it; repeated rows count as
-documents of their own and get equal results; other columns are ignored; an empty table gives an
-empty result.
+Support is counted in documents: several lines of one document that fall together, in a vote or in a
+template, count once for it.
+
+Defined results: null text has no lines and stays null; very long texts and lines are taken whole; blank
+lines are never dropped and count in n_lines; a line that repeats within one document counts once for
+it; a tie at ``min_docs`` is enough; repeated rows count as documents of their own and get equal results;
+other columns, whatever their names, are ignored; an empty table gives an empty result. Lines, words and
+documents are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, read
+from .shared import discard, materialize, read, slices, tidied
 
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
@@ -70,7 +74,7 @@ def _lines(docs: DataFrame, tree: Tree) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             doc, no, leaf, line, new_leaf, new_line = [], [], [], [], [], []
             for n, data in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 leaves, lines = set(), set()
@@ -93,7 +97,7 @@ def _lines(docs: DataFrame, tree: Tree) -> DataFrame:
                 names=["doc_id", "th", "no", "leaf", "line", "new_leaf", "new_line"],
             )
 
-    return _key(docs).mapInArrow(run, f"doc_id {kind}, th long, no int, leaf long, line long, new_leaf boolean, new_line boolean")
+    return _key(docs).mapInArrow(tidied(run), f"doc_id {kind}, th long, no int, leaf long, line long, new_leaf boolean, new_line boolean")
 
 
 def _mark(*cols: str):
@@ -103,10 +107,10 @@ def _mark(*cols: str):
 def _word_rows(docs: DataFrame, wanted: DataFrame, tree: Tree) -> DataFrame:
     """line, leaf, size, place, word (a hash) of each wanted line, from one document that has it."""
     nos = wanted.groupBy(_mark("doc_id", "th").alias("k")).agg(F.collect_set("no").alias("nos"))
-    met = _key(docs).select(_mark("doc_id", "th").alias("k"), "text").join(nos.hint("shuffle_hash"), "k").select("text", "nos")
+    met = _key(docs).select(_mark("doc_id", "th").alias("k"), "text").join(nos, "k").select("text", "nos")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for data, nos in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("nos").to_pylist()):
                 lines = (data or b"").split(b"\n")
@@ -119,7 +123,16 @@ def _word_rows(docs: DataFrame, wanted: DataFrame, tree: Tree) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["line", "leaf", "size", "place", "word"])
 
     # rows that repeat a document give its lines again
-    return met.mapInArrow(run, "line long, leaf long, size long, place long, word long")
+    return met.mapInArrow(tidied(run), "line long, leaf long, size long, place long, word long")
+
+
+def _supported(groups: DataFrame, few: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """``keys`` whose lines (line, docs) come from ``least`` different documents. One line of so many
+    is enough; where only several lines add up to it, their documents are counted once each."""
+    sums = materialize(groups.groupBy(*keys).agg(F.sum("docs").alias("all"), F.max("docs").alias("most")).where(F.col("all") >= least), "line-support")
+    doubtful = groups.join(sums.where(F.col("most") < least).select(*keys), keys).select(*keys, "line").join(few, "line")
+    counted = doubtful.groupBy(*keys, "doc").agg(F.max("rows").alias("rows")).groupBy(*keys).agg(F.sum("rows").alias("n"))
+    return sums.where(F.col("most") >= least).select(*keys).unionByName(counted.where(F.col("n") >= least).select(*keys))
 
 
 def recurring_lines(docs: DataFrame, tree: Tree = Tree()) -> tuple[DataFrame, DataFrame]:
@@ -130,8 +143,11 @@ def recurring_lines(docs: DataFrame, tree: Tree = Tree()) -> tuple[DataFrame, Da
     # a line that recurs as it is needs no template, but takes part in its leaf's counts
     known = materialize(counted.join(leaves, "leaf", "left_semi"), "lines-of-leaves")
     words = materialize(_word_rows(docs, known.select("at.doc_id", "at.th", "at.no"), tree).distinct(), "line-words")
+    # the documents of lines that fewer than min_docs hold: where these add up, documents may repeat
+    few = lines.where("new_line").join(known.where(F.col("docs") < tree.min_docs).select("line"), "line", "left_semi")
+    few = materialize(few.groupBy("line", F.xxhash64("doc_id", "th").alias("doc")).agg(F.count("*").alias("rows")), "lines-few")
     votes = words.join(known.select("line", "docs"), "line")
-    constant = votes.groupBy("leaf", "size", "place", "word").agg(F.sum("docs").alias("n")).where(F.col("n") >= tree.min_docs).drop("n")
+    constant = _supported(votes, few, ["leaf", "size", "place", "word"], tree.min_docs)
     fixed = words.join(constant, ["leaf", "size", "place", "word"])
     # a template's name: its leaf and the sum of the hashes of its constant words and their places
     shape = fixed.groupBy("line", "leaf", "size").agg(F.count("*").alias("fixed"), F.sum(F.xxhash64("place", "word").cast("decimal(38,0)")).alias("words"))
@@ -140,8 +156,10 @@ def recurring_lines(docs: DataFrame, tree: Tree = Tree()) -> tuple[DataFrame, Da
         F.when(F.col("fixed") >= tree.min_constant * F.col("size"), F.sha2(F.concat_ws("/", "leaf", "size", "fixed", "words"), 256)).otherwise(F.col("line").cast("string")).alias("template"),
     )
     by_line = materialize(known.select("line", "docs").join(named, "line", "left").select("line", "docs", F.coalesce("template", F.col("line").cast("string")).alias("template")), "line-templates")
-    often = by_line.groupBy("template").agg(F.sum("docs").alias("n")).where(F.col("n") >= tree.min_docs).select("template")
-    return lines, materialize(by_line.join(often, "template", "left_semi").select("line").distinct(), "lines-dropped")
+    often = _supported(by_line, few, ["template"], tree.min_docs)
+    dropped = materialize(by_line.join(often, "template", "left_semi").select("line").distinct(), "lines-dropped")
+    discard(known, words, few, by_line)
+    return lines, dropped
 
 
 def drop_recurring(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
@@ -149,10 +167,10 @@ def drop_recurring(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     lines, dropped = recurring_lines(docs, tree)
     nos = lines.join(dropped, "line", "left_semi").groupBy(_mark("doc_id", "th").alias("k")).agg(F.collect_set("no").alias("nos"))
     kind = dict(docs.dtypes)["doc_id"]
-    met = _key(docs).select("doc_id", "text", _mark("doc_id", "th").alias("k")).join(nos.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "nos")
+    met = _key(docs).select("doc_id", "text", _mark("doc_id", "th").alias("k")).join(nos, "k", "left").select("doc_id", "text", "nos")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             size, gone, text = [], [], []
             for data, nos in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("nos").to_pylist()):
                 parts = [] if data is None else data.split(b"\n")
@@ -162,8 +180,8 @@ def drop_recurring(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
                 text.append(None if data is None else b"\n".join(x for k, x in enumerate(parts) if k not in out) if out else data)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
 
-    return met.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, text string")
+    return met.mapInArrow(tidied(run), f"doc_id {kind}, n_lines long, n_dropped long, text string")
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring(read(spark, sf_dir, "documents"))
+    return drop_recurring(read(spark, sf_dir, "documents", "doc_id", "text"))

@@ -16,21 +16,21 @@ def brute(rows, tree=lt.Tree()):
             if w:
                 leaf_docs[len(w), w[: tree.depth]].add(n)
                 line_docs[w].add(n)
-    votes = defaultdict(int)
+    votes = defaultdict(set)
     for w, n in line_docs.items():
         for k, x in enumerate(w):
-            votes[len(w), w[: tree.depth], k, x] += len(n)
-    template, support = {}, defaultdict(int)
+            votes[len(w), w[: tree.depth], k, x] |= n
+    template, support = {}, defaultdict(set)
     for w, n in line_docs.items():
         leaf = (len(w), w[: tree.depth])
         if len(leaf_docs[leaf]) < tree.min_docs:
             continue
-        fixed = tuple(x if votes[(*leaf, k, x)] >= tree.min_docs else None for k, x in enumerate(w))
+        fixed = tuple(x if len(votes[*leaf, k, x]) >= tree.min_docs else None for k, x in enumerate(w))
         template[w] = (leaf, fixed) if sum(x is not None for x in fixed) >= tree.min_constant * len(w) else w
-        support[template[w]] += len(n)
+        support[template[w]] |= n
     out = []
     for d, lines in docs:
-        kept = [x for x in lines or [] if not (w := tuple(lt.words_of(x.encode()))) or support.get(template.get(w), 0) < tree.min_docs]
+        kept = [x for x in lines or [] if not (w := tuple(lt.words_of(x.encode()))) or len(support.get(template.get(w), ())) < tree.min_docs]
         out.append((d, len(lines or []), len(lines or []) - len(kept), None if lines is None else "\n".join(kept)))
     return sorted(map(str, out))
 
@@ -54,6 +54,19 @@ def test_equals_brute_force(spark):
     assert all(text(40, n).split("\n")[0] in by[n] for n in by)
 
 
+def test_lines_of_one_document_are_one_voice(spark):
+    """Three lines of one template in one document; two others reach its leaf with other lines."""
+    body = "\n".join(f"we all went down to the {x} side today" for x in ("river", "lake", "sea"))
+    rows = [(1, body), (2, "we all went up and over some old hill"), (3, "we all went out with them one cold night")]
+    got = lt.drop_recurring(documents(spark, [row(*r) for r in rows])).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows)
+    assert sum(r["n_dropped"] for r in got) == 0
+    more = rows + [(4, "we all went down to the lake side today"), (5, "we all went down to the pond side today")]
+    got = lt.drop_recurring(documents(spark, [row(*r) for r in more])).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(more)
+    assert sum(r["n_dropped"] for r in got) == 5
+
+
 def test_hard_and_empty(spark):
     docs = hard(spark)
     got = lt.drop_recurring(docs).collect()
