@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import fresh_path, materialize, read
+from .shared import fresh_path, materialize, read, tidied
 
 MAGIC = b"HGSST\x00\x00\x01"
 FOOTER = struct.Struct("<6Q3I8s")
@@ -206,7 +206,7 @@ class Encoder:
     New words of Latin letters go to the library many to a string. Its word-end marks tell them
     apart again; a string whose marks don't add up is encoded word by word."""
 
-    def __init__(self, tokenizer_json: str, by_chunk: bool, most: int = 300_000):
+    def __init__(self, tokenizer_json: str, by_chunk: bool, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -300,7 +300,7 @@ class Encoder:
         return [(instead[n] if n in instead else ids[a:b]) + self.end for n, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()))]
 
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 _encoders: dict[int, Encoder] = {}
 
 
@@ -347,7 +347,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, by_chunk: bool =
             stream.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "shard": [part], "documents": [writer.documents], "ids": [writer.ids]})
 
-    manifest = materialize(dealt.mapInArrow(run, "file string, shard long, documents long, ids long"), "sstable-manifest")
+    manifest = materialize(dealt.mapInArrow(tidied(run), "file string, shard long, documents long, ids long"), "sstable-manifest")
     # one row for each shard
     before = F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     return manifest.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
@@ -389,4 +389,4 @@ def tokenize_to_shards(docs: DataFrame, tokenizer: str, folder: str | None = Non
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokenize_to_shards(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenize_to_shards(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
