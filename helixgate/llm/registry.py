@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .line_templates import op10_line_templates
+from .lm_score import ORACLE as OP4_SQL
 from .lm_score import op4_lm_scores
 from .mixing import op7_mixing
 from .pseudonyms import op9_pseudonyms
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_line_templates": op10_line_templates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_lm_scores": OP4_SQL}
