@@ -47,6 +47,9 @@ def parser(many: bool) -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     many = argv[:1] == ["compare"]
+    if not many and "compare" in argv:
+        print("helixgate: options of a comparison stand after the word compare", file=sys.stderr)
+        return 3
     a = parser(many).parse_args(argv[many:])
     try:
         if not many and (a.schema or a.finding_catalog or a.explain_finding):

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rules import BY_ID, FINDINGS, STRUCTURE
+from .guidance import GUIDANCE
+from .rules import BY_ID, COHORT, FINDINGS, STRUCTURE
 
 #: Findings on which each gate fails.
 PIPELINE = ("duplicate_first_token_ids", "duplicate_ids", "high_n_rate", "invalid_chars", "invalid_fasta_structure")
@@ -191,14 +192,38 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "position int, finding_id string, severity string, category string, confidence string, needs_followup boolean, first_action string")
 
 
+#: What follows a cohort finding, as in ACTIONS, and whether it needs another tool.
+COHORT_ACTIONS = {
+    "cohort_total_length_outliers": ("review_cohort_length_distribution", "structure", "moderate", False),
+    "cohort_gc_outliers": ("review_cohort_gc_distribution", "composition", "moderate", True),
+}
+
+
+def suggested(finding_id: str) -> list[dict]:
+    """The actions of a finding as reports give them."""
+    g = GUIDANCE[finding_id]
+    if finding_id in COHORT:
+        return [{"action_type": COHORT_ACTIONS[finding_id][0], "target": g.target, "reason": g.reason, "recommended_tool": "helixgate compare", "requires_external_database": False}]
+    return [{"action_type": a, "target": g.target, "reason": g.reason, "recommended_tool": tool, "requires_external_database": db} for a, tool, db in ACTIONS[finding_id]]
+
+
 def explain(finding_id: str) -> dict:
     """What the catalog says of one finding."""
-    if finding_id not in BY_ID:
+    if finding_id not in GUIDANCE:
         raise KeyError(f"unknown finding: {finding_id}")
-    f = BY_ID[finding_id]
+    g = GUIDANCE[finding_id]
+    if finding_id in COHORT:
+        _, category, confidence, follow = COHORT_ACTIONS[finding_id]
+        fixed = {"severity": "minor", "category": category, "confidence": confidence, "needs_followup": follow, "scope": "cohort", "message": "samples stand out from the others"}
+        more = {}
+    else:
+        f = BY_ID[finding_id]
+        fixed = {"severity": f.severity, "category": f.category, "confidence": f.confidence, "needs_followup": f.needs_followup, "scope": "sample", "message": f.message}
+        more = {
+            "readiness": list(TOUCHES.get(f.id, ("machine",))),
+            "routing_hints": [dict(zip(("condition", "suggested_route", "requires_external_database"), h)) for h in HINTS[f.id]],
+        }
     return {
-        "id": f.id, "severity": f.severity, "category": f.category, "confidence": f.confidence, "needs_followup": f.needs_followup, "message": f.message,
-        "actions": [dict(zip(("action_type", "recommended_tool", "requires_external_database"), a)) for a in ACTIONS[f.id]],
-        "readiness": list(TOUCHES.get(f.id, ("machine",))),
-        "routing_hints": [dict(zip(("condition", "suggested_route", "requires_external_database"), h)) for h in HINTS[f.id]],
+        "id": finding_id, **fixed, "profile": "assembly", "verdict_effect": "fail" if fixed["severity"] == "critical" else "warn", "meaning": g.meaning, "why_it_matters": g.why,
+        "evidence_fields": list(g.evidence), "actions": suggested(finding_id), "cannot_conclude": list(g.cannot_conclude), **more,
     }

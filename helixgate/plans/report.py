@@ -91,7 +91,7 @@ def _finding(f, evidence: list[dict]) -> dict:
         "id": known.id, "severity": known.severity, "category": known.category, "confidence": known.confidence, "needs_followup": known.needs_followup,
         "message": f"{f['affected_count']}: {known.message}", "affected_count": f["affected_count"], "affected_fraction": f["affected_fraction"],
         "evidence": {"total_records": 0 if known.id == "expected_size_outlier" else f["affected_count"], "truncated": known.id != "expected_size_outlier" and f["affected_count"] > len(evidence), "records": evidence},
-        "actions": policy.explain(known.id)["actions"],
+        "actions": policy.suggested(known.id),
     }
 
 

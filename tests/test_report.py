@@ -85,6 +85,37 @@ def test_comparison(spark, files, tmp_path):
         compare(spark, [files["clean"]])
 
 
+KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None), "array": list, "object": dict}
+
+
+def fits(value, schema, at="$"):
+    """As much of JSON Schema as the contract uses."""
+    if "const" in schema:
+        assert value == schema["const"], at
+    if "enum" in schema:
+        assert value in schema["enum"], at
+    kinds = schema.get("type", [])
+    if kinds:
+        assert any(isinstance(value, KINDS[k]) and (k == "boolean" or not isinstance(value, bool)) for k in ([kinds] if isinstance(kinds, str) else kinds)), (at, value)
+    if isinstance(value, list):
+        for n, x in enumerate(value):
+            fits(x, schema["items"], f"{at}[{n}]")
+    if isinstance(value, dict):
+        assert schema["additionalProperties"] is False and set(schema["required"]) <= set(value) <= set(schema["properties"]), (at, set(value) ^ set(schema["properties"]))
+        for k, x in value.items():
+            fits(x, schema["properties"][k], f"{at}.{k}")
+
+
+def test_reports_fit_the_contract(spark, made, files):
+    single, many = contract.report_schema()["oneOf"]
+    for r in made.values():
+        fits(r, single)
+    fits(compare(spark, [files["problem"], files["clean"]]), many)
+    for f in contract.finding_catalog()["findings"]:
+        assert all(f[k] for k in ("meaning", "why_it_matters", "evidence_fields", "cannot_conclude", "actions"))
+        assert all(a["target"] and a["reason"] for a in f["actions"])
+
+
 def test_gates_and_contract():
     assert policy.fail_on("submission", "ncbi", ["tiny_contigs, x"]) == sorted([*policy.NCBI, "tiny_contigs", "x"])
     with pytest.raises(ValueError):
