@@ -13,22 +13,30 @@ A key shares its first bytes with the key before it in the block; the first key
 whole. Values are token ids, little-endian, in 2 bytes where the vocabulary allows and else 4.
 ``Reader.get`` asks the Bloom filter, bisects the sparse block index and reads one block.
 
-A document's key is one byte (0 for a null doc_id, which comes first, else 1) and the doc_id with
-its sign bit turned, big-endian, so that bytes sort as numbers do. Repeated doc_ids keep all their
-rows, in the order of their texts' hashes.
-
-Texts are dealt to shards by ranges of doc_id; each task sorts, encodes and streams its range to a
-file of a name of its own, and only files that the manifest of successful tasks names count, so
-lost executors and repeated tasks leave no trace in the result. Null text is encoded as empty (the
-end id alone); an empty table gives no shards and an empty result; other columns are ignored.
+A document's key is one byte (0 for a null doc_id, which comes first, 1 for a number, 2 for a string)
+and the doc_id: a number with its sign bit turned, big-endian, so that bytes sort as numbers do, or the
+string's UTF-8. Repeated doc_ids keep all their rows, in the order of their texts' hashes.
+
+Texts are dealt to shards of about ``shard_chars`` characters by ranges of doc_id, and of the texts'
+hashes where doc_ids repeat; each task sorts, encodes and streams its range to a file of a name of its
+own, and only files that the manifest of successful tasks names count, so lost executors and repeated
+tasks leave no trace in the result. Texts of one doc_id and hash stay in one shard.
+
+Defined results: null text is encoded as empty (the end id alone); very long texts are encoded whole, by
+themselves; rows that repeat a doc_id are kept each, ties in any order, as they are equal; an empty table
+gives no shards and an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import array
 import bisect
+import json
+import re
 import struct
 import uuid
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +46,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from .shared import fresh_path, materialize, read, tidied
+from .shared import fresh_path, materialize, read, slices, tidied
 
 MAGIC = b"HGSST\x00\x00\x01"
 FOOTER = struct.Struct("<6Q3I8s")
@@ -47,12 +57,18 @@ INDEX_ROW = struct.Struct("<4Q")
 END_ID = 2
 
 
-def key_of(doc_id: int | None) -> bytes:
-    return b"\x00" if doc_id is None else b"\x01" + ((doc_id + (1 << 63)) & ((1 << 64) - 1)).to_bytes(8, "big")
+def key_of(doc_id: int | str | None) -> bytes:
+    if doc_id is None:
+        return b"\x00"
+    if isinstance(doc_id, str):
+        return b"\x02" + doc_id.encode()
+    return b"\x01" + ((doc_id + (1 << 63)) & ((1 << 64) - 1)).to_bytes(8, "big")
 
 
-def id_of(key: bytes) -> int | None:
-    return None if key == b"\x00" else int.from_bytes(key[1:], "big") - (1 << 63)
+def id_of(key: bytes) -> int | str | None:
+    if key == b"\x00":
+        return None
+    return key[1:].decode() if key[0] == 2 else int.from_bytes(key[1:], "big") - (1 << 63)
 
 
 def _varint(n: int) -> bytes:
@@ -82,7 +98,7 @@ class Writer:
         self.out, self.id_bytes, self.block_bytes, self.bits_per_key = out, id_bytes, block_bytes, bits_per_key
         self.at = self.documents = self.ids = 0
         self.block, self.last, self.first, self.entries, self.before = bytearray(), b"", b"", 0, 0
-        self.index, self.hashes = bytearray(), []
+        self.index, self.hashes = bytearray(), array.array("Q")
 
     def add(self, key: bytes, value: bytes) -> None:
         if self.documents and key < self.last:
@@ -113,12 +129,14 @@ class Writer:
         if self.entries:
             self._flush()
         k = max(1, round(self.bits_per_key * 0.69))
-        bits = np.zeros(max(64, -(-self.documents * self.bits_per_key // 8) * 8), np.uint8)
+        size = max(64, -(-self.documents * self.bits_per_key // 8) * 8)
+        packed = np.zeros(size // 8, np.uint8)
         for n in range(0, len(self.hashes), 1 << 16):
-            h = np.array(self.hashes[n : n + (1 << 16)], np.uint64)
+            h = np.frombuffer(self.hashes[n : n + (1 << 16)], np.uint64)
             for i in range(k):
-                bits[_probe(h, i, len(bits))] = 1
-        bloom, index = np.packbits(bits).tobytes(), bytes(self.index)
+                at = _probe(h, i, size)
+                np.bitwise_or.at(packed, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+        bloom, index = packed.tobytes(), bytes(self.index)
         self.out.write(index + bloom)
         crc = zlib.crc32(bloom, zlib.crc32(index))
         self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.documents, self.ids, self.id_bytes, k, crc, MAGIC))
@@ -195,22 +213,65 @@ class Reader:
         return np.frombuffer(value, "<u2" if self.id_bytes == 2 else "<u4").astype("<u4")
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What a tokenizer's JSON says that lets its texts be encoded chunk by chunk."""
+
+    #: no token crosses white space
+    by_chunk: bool
+    #: case doesn't matter
+    lower: bool
+    #: letters and punctuation are never in one token
+    splits_marks: bool
+    #: how special tokens begin; texts with such an opening are encoded whole
+    openings: tuple[str, ...]
+
+
+_PLAIN = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+
+
+def facts_of(tokenizer_json: str) -> Facts:
+    """Only what is certain: any normalizer or pre-tokenizer that is not known here means whole texts."""
+    known = json.loads(tokenizer_json)
+    norm, pre = known.get("normalizer"), known.get("pre_tokenizer")
+    norms = norm["normalizers"] if norm and norm["type"] == "Sequence" else [norm] if norm else []
+    pres = pre["pretokenizers"] if pre and pre["type"] == "Sequence" else [pre] if pre else []
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    plain = all(n["type"] in _PLAIN or n == blank for n in norms)
+    pattern = ""
+    if pres and pres[0]["type"] == "Split" and pres[0]["behavior"] == "Removed" and pres[0]["invert"]:
+        pattern = pres[0]["pattern"].get("Regex", "")
+    # besides classes that leave white space out, nothing that could match it
+    rest = re.sub(r"\[\^\\s[^\]]*\]", "", pattern)
+    cuts = bool(pattern) and not re.search(r"\\[sWDHvRX]|[ .]|\[\^|\\p\{Z|\\P", rest) or bool(pres) and pres[0]["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    rest_known = all(p["type"] == "ByteLevel" and not p.get("add_prefix_space") for p in pres[1:])
+    openings = {re.match(r"[^\w\s]*", t["content"]).group() for t in known.get("added_tokens", [])}
+    return Facts(
+        by_chunk=plain and cuts and rest_known and "" not in openings and not known.get("truncation"),
+        lower=any(n["type"] == "Lowercase" for n in norms),
+        splits_marks="[\\p{L}]+" in pattern and "[^\\s\\p{L}\\p{N}]+" in pattern,
+        openings=tuple(sorted(openings)),
+    )
+
+
 class Encoder:
     """Whole texts to ids through the tokenizer library.
 
     A tokenizer whose pre-tokenizer never lets a token cross white space gives a text the ids of
-    its chunks between white space one after the other; ``by_chunk`` says so, and then distinct
+    its chunks between white space one after the other; where its JSON says so (``facts_of``), distinct
     chunks are encoded once and remembered in two generations of ``most`` chunks: the older one is
-    given up when the younger is full. Texts with the opening of a special token are encoded whole.
+    given up when the younger is full. Texts with the opening of a special token are encoded whole, as
+    all texts are with other tokenizers.
 
     New words of Latin letters go to the library many to a string. Its word-end marks tell them
     apart again; a string whose marks don't add up is encoded word by word."""
 
-    def __init__(self, tokenizer_json: str, by_chunk: bool, most: int = 150_000):
+    def __init__(self, tokenizer_json: str, most: int = 150_000, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.by_chunk, self.most = by_chunk, most
+        self.facts, self.most = facts_of(tokenizer_json), most
+        self.by_chunk = self.facts.by_chunk and not whole
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.id_bytes == 2 else "<u4"
         self.end = np.array([END_ID], self.kind).tobytes()
@@ -239,8 +300,8 @@ class Encoder:
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        """Bring all chunks to the younger generation, new ones encoded. An ASCII chunk is taken in lower case, and cut before one closing
-        comma or full stop after a Latin-1 letter, where the pre-tokenizer cuts as well."""
+        """Bring all chunks to the younger generation, new ones encoded. Where the tokenizer does so too, an
+        ASCII chunk is taken in lower case, and cut before one closing comma or full stop after a Latin-1 letter."""
         unknown = chunks.difference(self.young)
         if len(self.young) + len(unknown) > self.most:
             self.old, self.young, unknown = self.young, {}, chunks
@@ -249,8 +310,8 @@ class Encoder:
             if c in self.old:
                 self.young[c] = self.old[c]
                 continue
-            core, tail = (c.lower() if c.isascii() else c), ""
-            if len(core) > 1 and core[-1] in ",." and core[-2].isalpha() and core[-2] < "\u0100":
+            core, tail = (c.lower() if self.facts.lower and c.isascii() else c), ""
+            if self.facts.splits_marks and len(core) > 1 and core[-1] in ",." and core[-2].isalpha() and core[-2] < "\u0100":
                 core, tail = core[:-1], core[-1]
             parts[c] = (core, tail)
         ids: dict[str, bytes] = {"": b""}
@@ -277,7 +338,9 @@ class Encoder:
         return out
 
     def _slice(self, texts: pa.Array) -> list[bytes]:
-        whole = [n for n, x in enumerate(pc.match_substring(texts, "<|").to_pylist()) if x or not self.by_chunk]
+        if not self.by_chunk:
+            return [x + self.end for x in self._bytes(texts.to_pylist())]
+        whole = sorted({n for x in self.facts.openings for n in np.flatnonzero(pc.match_substring(texts, x).to_numpy(zero_copy_only=False)).tolist()})
         instead = dict(zip(whole, self._bytes([texts[n].as_py() for n in whole])))
         if len(whole) == len(texts):
             return [instead[n] + self.end for n in whole]
@@ -301,27 +364,37 @@ class Encoder:
 
 
 SLICE_BYTES = 2_000_000
+#: characters of text to a shard
+SHARD_CHARS = 32_000_000
 _encoders: dict[int, Encoder] = {}
 
 
-def _encoder(tokenizer_json: str, by_chunk: bool) -> Encoder:
+def _encoder(tokenizer_json: str) -> Encoder:
     """One encoder in each Python worker, kept from task to task with what it has learnt."""
-    key = hash((tokenizer_json, by_chunk))
+    key = hash(tokenizer_json)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json, by_chunk)
+        _encoders[key] = Encoder(tokenizer_json)
     return _encoders[key]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, by_chunk: bool = True, shards: int | None = None) -> DataFrame:
+def _uri(folder: str) -> str:
+    """A folder's URI as pyarrow spells it: Hadoop's names of object stores are known too."""
+    scheme, colon, rest = folder.partition("://")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest
+
+
+def _files(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(_uri(folder))
+
+
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Encode all documents to shards in ``folder`` (any URI that pyarrow's file systems open).
     Returns the manifest: file, shard, documents, ids, in shard order with the ids before it."""
-    spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         tokenizer_json = f.read()
-    if shards is None:
-        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    shards = 1 + (rows.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0) // shard_chars
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
@@ -329,12 +402,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, by_chunk: bool =
         from pyspark import TaskContext
 
         part, name = TaskContext.get().partitionId(), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 2048):
             if name is None:
-                encoder = _encoder(tokenizer_json, by_chunk)
-                fs, top = pafs.FileSystem.from_uri(folder)
+                encoder = _encoder(tokenizer_json)
+                fs, top = _files(folder)
                 fs.create_dir(top, recursive=True)
                 name = f"shard-{part:06d}-{uuid.uuid4().hex}.sst"
                 stream = fs.open_output_stream(f"{top}/{name}")
@@ -353,14 +424,20 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, by_chunk: bool =
     return manifest.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
 
 
-def read_shards(manifest: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    tasks = tasks or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def read_shards(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+    """doc_id (of Spark type ``id_type``), start, n_tokens and ids_crc32 of every document, from the
+    files; a task for each few of them."""
+    tasks = max(1, min(manifest.count(), 8 * manifest.sparkSession.sparkContext.defaultParallelism))
+    kind = to_arrow_type(_parse_datatype_string(id_type))
+
+    def batch_of(rows):
+        cols = list(zip(*rows)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                fs, top = pafs.FileSystem.from_uri(folder)
+                fs, top = _files(folder)
                 with fs.open_input_file(f"{top}/{row['file']}") as source:
                     reader = Reader(source)
                     rows = []
@@ -368,22 +445,17 @@ def read_shards(manifest: DataFrame, folder: str, tasks: int | None = None) -> D
                         ids = reader.ids_of(value)
                         rows.append((id_of(key), row["before"] + before, len(ids), zlib.crc32(ids.tobytes())))
                         if len(rows) == 8192:
-                            yield _batch(rows)
+                            yield batch_of(rows)
                             rows = []
-                    yield _batch(rows)
-
-    return manifest.select("file", "before").repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
+                    yield batch_of(rows)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return manifest.select("file", "before").repartition(tasks, "file").mapInArrow(tidied(run), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_to_shards(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
     """Write shards, to a fresh folder beside the checkpoints by default, and read them back."""
     folder = folder or fresh_path(docs.sparkSession, "token-shards")
-    return read_shards(write_shards(docs, tokenizer, folder), folder)
+    return read_shards(write_shards(docs, tokenizer, folder), folder, dict(docs.dtypes)["doc_id"])
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import io
+import json
 import zlib
 
 import numpy as np
@@ -56,7 +57,8 @@ def test_damage_is_found():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="abZ é.,'<|>endoftx\t\n\u00a0\u0301\u0130J\u030c1ß日", max_size=40), max_size=6))
 def test_chunks_give_the_ids_of_whole_texts(texts):
-    encoder = sstable.Encoder(TOKENIZER.to_str(), True, most=5)
+    encoder = sstable.Encoder(TOKENIZER.to_str(), most=5)
+    assert encoder.by_chunk
     texts = [*texts, "<|endoftext|> a", "Don't STOP, it's"]
     want = [np.array([*TOKENIZER.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes() for t in texts]
     for _ in range(2):
@@ -83,6 +85,52 @@ def test_hard_rows(spark):
     assert [r for r in got if r[0] in single] == [r for r in want if r[0] in single]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    encoder = sstable.Encoder(tokenizer.to_str())
+    assert not encoder.by_chunk
+    texts = ["Two  words, and\nMORE. <|endoftext|>x", "", "a b"]
+    assert encoder.encode(pa.array(texts)) == [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], encoder.kind).tobytes() for t in texts]
+
+
+def test_facts_of_tokenizers():
+    assert sstable.facts_of(TOKENIZER.to_str()) == sstable.Facts(True, True, True, ("<|",))
+    cased = json.loads(TOKENIZER.to_str())
+    cased["normalizer"]["normalizers"].pop()
+    assert sstable.facts_of(json.dumps(cased)) == sstable.Facts(True, False, True, ("<|",))
+    cased["added_tokens"][0]["content"] = "START"
+    assert not sstable.facts_of(json.dumps(cased)).by_chunk
+    cased = json.loads(TOKENIZER.to_str())
+    cased["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] += "| ?x"
+    assert not sstable.facts_of(json.dumps(cased)).by_chunk
+
+
+def test_string_ids_small_shards_and_lookup(spark, tmp_path):
+    docs = spark.createDataFrame([(f"doc-{n:03d}", f"text number {n} " * (n % 7)) for n in range(60)] + [(None, "x"), ("é", None)], "doc_id string, text string")
+    folder = f"file://{tmp_path}"
+    manifest = sstable.write_shards(docs, PATH, folder, shard_chars=500)
+    files = manifest.orderBy("shard").collect()
+    assert len(files) > 3
+    got = sorted(map(tuple, sstable.read_shards(manifest, folder, "string").collect()), key=lambda r: r[1])
+    rows = sorted(docs.collect(), key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+    start = 0
+    for g, r in zip(got, rows, strict=True):
+        ids = np.array([*TOKENIZER.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert g == (r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    found = []
+    for f in files:
+        with open(tmp_path / f["file"], "rb") as source:
+            found += [(f["before"] + b, len(v) // 2) for b, v in sstable.Reader(source).get(sstable.key_of("doc-033"))]
+    assert found == [next(g[1:3] for g in got if g[0] == "doc-033")]
+
+
+def test_object_store_names():
+    assert sstable._files("file:///tmp/x")[1] == "/tmp/x"
+    assert [sstable._uri(x) for x in ("s3a://b/f", "gs://b/f", "file:///x")] == ["s3://b/f", "gs://b/f", "file:///x"]
+
+
 def test_empty_table(spark):
     assert sstable.tokenize_to_shards(empty(spark), PATH).count() == 0
     assert sstable.tokenize_to_shards(documents(spark, [row(3, None)]), PATH).collect()[0][:3] == (3, 0, 1)
