@@ -5,9 +5,12 @@ replaced by a value of the same kind and format under a keyed permutation:
 
     card    13 to 19 digits with a valid Luhn digit: all but the last permuted, that one renewed
     ssn     valid area, group and serial: permuted among the valid ones
-    phone   ten national digits: permuted, country code and punctuation kept
+    phone   ten national digits in groups, or a plus, a country code and up to 15 digits in all:
+            permuted, country code and punctuation kept
+    iban    valid check digits (mod 97): digits of the account permuted, check digits renewed
     ip      IPv4 with octets to 255: permuted among all addresses
-    date    valid days of 1900 to 2099, year-month-day or day/month/year: permuted among these days
+    date    valid days of 1900 to 2099, year-month-day, day/month/year or day.month.year: permuted
+            among these days
     email   letters and digits of the local part: each shifted within its class, domain kept
 
 The permutation is an alternating Feistel network over Z_A x Z_B with A * B the number of valid
@@ -16,9 +19,12 @@ network backwards (``restore``). Round functions are the first 60 bits of a keye
 value alone decides the pseudonym, so equal values stay linked across documents and runs. Texts
 do not move: there is no shuffle.
 
-Defined results: null text stays null and counts nothing; invalid candidates stay as they are;
-repeated rows are treated alike; all other columns are kept by ``pseudonymize``; an empty table
-gives an empty result.
+Not taken for personal data, as nothing validates them: ten digits in a row, month/day/year, IPv6.
+
+Defined results: null text stays null and counts nothing; very long texts are rewritten whole; invalid
+candidates stay as they are; where two kinds fit at one place the first in the order of the pattern
+wins; repeated rows are treated alike; all other columns, whatever their names, are kept by
+``pseudonymize``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,17 +35,20 @@ from pyspark.sql import functions as F
 from .shared import read
 
 ROUNDS = 10
-KINDS = ("card", "ssn", "phone", "ip", "date", "email")
+KINDS = ("card", "ssn", "phone", "iban", "ip", "date", "email")
 
 # Lookarounds keep candidates apart from longer runs; possessive repeats keep the search linear.
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _ISO = r"(?<![0-9A-Za-z.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
 _DMY = r"(?<![0-9A-Za-z./])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])"
+_DOTTED = r"(?<![0-9A-Za-z./-])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9A-Za-z]|\.[0-9])"
 _SSN = r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 _PHONE = r"(?<![0-9A-Za-z.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
+_ABROAD = r"(?<![0-9A-Za-z.+-])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\)|[ .-]?[0-9]{2,5}){2,5}+(?![0-9A-Za-z-])"
+_IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 _IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 _CARD = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{13,19})(?![0-9A-Za-z-])"
-CANDIDATE = "|".join((_EMAIL, _ISO, _DMY, _SSN, _PHONE, _IP, _CARD))
+CANDIDATE = "|".join((_EMAIL, _ISO, _DMY, _DOTTED, _SSN, _PHONE, _ABROAD, _IBAN, _IP, _CARD))
 
 
 def _round(key: str, kind: str, i: Column, x: Column) -> Column:
@@ -125,10 +134,37 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
     return F.when(valid, _let(out, text))
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder of a string of digits and capitals, which stand for 10 to 35."""
+
+    def add(s, c):
+        n = F.ascii(c)
+        return F.when(n < 58, (s * 10 + n - 48) % 97).otherwise((s * 100 + n - 55) % 97)
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _iban(m: Column, key: str, back: bool) -> Column:
+    def of(d):
+        head, body = F.substring(d, F.lit(1), F.lit(2)), F.substring(d, F.lit(5), F.length(d))
+        digits = F.regexp_replace(body, "[^0-9]", "")
+        valid = F.length(d).between(15, 34) & (F.length(digits) > 1) & (_mod97(F.concat(body, F.substring(d, F.lit(1), F.lit(4)))) == 1)
+
+        def renewed(new):
+            check = F.lpad((F.lit(98) - _mod97(F.concat(new, head, F.lit("00")))).cast("string"), 2, F.lit("0"))
+            # letters and spaces of the account stay; its digits and the check digits take their places
+            return _refill(m, F.concat(check, F.regexp_replace(new, "[^0-9]", "")))
+
+        return F.when(valid, _let(_refill(body, _digits(digits, key, "iban", back)), renewed))
+
+    return _let(F.regexp_replace(m, " ", ""), of)
+
+
 def _phone(m: Column, key: str, back: bool) -> Column:
     national = F.regexp_replace(F.regexp_replace(m, r"^\+[0-9]{1,3}[ .-]?", ""), "[^0-9]", "")
     code = F.regexp_extract(m, r"^(?:\+[0-9]{1,3}[ .-]?)?", 0)
-    return F.concat(code, _refill(F.substring(m, F.length(code) + 1, F.length(m)), _digits(national, key, "phone", back)))
+    valid = ~m.startswith("+") | F.length(F.regexp_replace(m, "[^0-9]", "")).between(8, 15)
+    return F.when(valid, F.concat(code, _refill(F.substring(m, F.length(code) + 1, F.length(m)), _digits(national, key, "phone", back))))
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
@@ -141,14 +177,15 @@ def _ip(m: Column, key: str, back: bool) -> Column:
 
 def _date(m: Column, key: str, back: bool) -> Column:
     iso = m.rlike("^[0-9]{4}-")
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
+    dots = m.contains(".")
+    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).when(dots, F.try_to_date(m, "dd.MM.yyyy")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
 
     def moved(d):
         n = F.datediff(d, F.lit("1900-01-01").cast("date"))
         # 1900 to 2099 has 73,049 = 17 * 4297 days
         out = _feistel(F.floor(n / 4297), n % 4297, F.lit(17).cast("long"), F.lit(4297).cast("long"), key, "date", back)
         new = _let(out, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * 4297 + s["b"]).cast("int")))
-        return F.when((n >= 0) & (n < 73049), _let(new, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).otherwise(F.date_format(x, "dd/MM/yyyy"))))
+        return F.when((n >= 0) & (n < 73049), _let(new, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).when(dots, F.date_format(x, "dd.MM.yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy"))))
 
     return _let(day, moved)
 
@@ -187,9 +224,10 @@ def _replaced(m: Column, key: str, back: bool) -> Column:
     one = lambda kind, of: _let(of(m, key, back), lambda out: made(F.lit(kind), out))
     return (
         F.when(m.contains("@"), one("email", _email))
-        .when(m.rlike(f"^(?:{_ISO}|{_DMY})$"), one("date", _date))
+        .when(m.rlike(f"^(?:{_ISO}|{_DMY}|{_DOTTED})$"), one("date", _date))
         .when(m.rlike(f"^(?:{_SSN})$"), one("ssn", _ssn))
-        .when(m.rlike(f"^(?:{_PHONE})$"), one("phone", _phone))
+        .when(m.rlike(f"^(?:{_PHONE}|{_ABROAD})$"), one("phone", _phone))
+        .when(m.rlike("^[A-Z]"), one("iban", _iban))
         .when(m.rlike(f"^(?:{_IP})$"), one("ip", _ip))
         .otherwise(one("card", _card))
     )
@@ -224,6 +262,6 @@ def restore(docs: DataFrame, key: str) -> DataFrame:
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts by kind and the rewritten text. A production run takes its key from a vault."""
-    out = pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), "not-a-secret")
+    out = pseudonymize(read(spark, sf_dir, "documents", "doc_id", "text"), "not-a-secret")
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
     return out.select("doc.doc_id", *(count(k) for k in KINDS), "doc.text")

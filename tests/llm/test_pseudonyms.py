@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import random
 import re
 
@@ -83,3 +84,38 @@ def test_hard_and_empty(spark):
 @pytest.mark.parametrize("body", ["a" * 50_000, "1" * 50_000, "1-" * 20_000, "a.b@" * 5_000, "é" * 9_999])
 def test_long_runs_stay_fast(spark, body):
     assert len(rewritten(spark, [body])[0][0]) == len(body)
+
+
+def feistel(digits, key, kind):
+    """The network over the halves of a string of digits, written anew."""
+    n = len(digits) // 2
+    a, b, sizes = int(digits[:n]), int(digits[n:]), (10**n, 10 ** (len(digits) - n))
+    for i in range(10):
+        f = int(hashlib.sha256(f"{key}|{kind}|{i}|{b if i % 2 == 0 else a}".encode()).hexdigest()[:15], 16)
+        if i % 2 == 0:
+            a = (a + f) % sizes[0]
+        else:
+            b = (b + f) % sizes[1]
+    return f"{a:0{n}d}{b:0{len(digits) - n}d}"
+
+
+def iban_rest(x):
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_equal_an_independent_network(spark):
+    got = rewritten(spark, ["017-555-7713", "4111111111111111", "DE89 3704 0044 0532 0130 00"])
+    assert got[0][0].replace("-", "") == feistel("0175557713", "k", "phone")
+    assert got[1][0][:-1] == feistel("411111111111111", "k", "card") and luhn(got[1][0])
+    assert got[2][0].replace(" ", "")[4:] == feistel("370400440532013000", "k", "iban")
+
+
+def test_ibans_phones_abroad_and_dotted_dates(spark):
+    bodies = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432.", "GB83 WEST 1234 5698 7654 32", "call +44 20 7946 0958", "+442079460958", "+12 34 56", "25.12.1980", "25.13.1980", "1.25.12.1980", "25/12/1980"]
+    got = rewritten(spark, bodies)
+    assert [k for _, k in got] == [["iban"], ["iban"], ["iban"], [], ["phone"], ["phone"], [], ["date"], [], [], ["date"]]
+    assert iban_rest(got[1][0]) == iban_rest(got[2][0][:-1]) == 1
+    assert got[0][0].replace(" ", "") == got[1][0] != bodies[1] and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", got[0][0])
+    assert re.fullmatch(r"GB\d\dWEST\d{14}\.", got[2][0])
+    assert re.fullmatch(r"call \+44 \d\d \d{4} \d{4}", got[4][0]) and re.fullmatch(r"\+442\d{9}", got[5][0])
+    assert got[7][0].replace(".", "/") == got[10][0] != bodies[10]
