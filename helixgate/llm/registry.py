@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import base
 from .decontaminate import op8_decontaminate
 from .line_templates import op10_line_templates
 from .lm_score import ORACLE as OP4_SQL
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_line_templates": op10_line_templates,
+    **base.QUERIES,
 }
 
-ORACLES: dict[str, str] = {"op4_lm_scores": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_lm_scores": OP4_SQL, **base.ORACLES}

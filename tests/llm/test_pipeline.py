@@ -1,6 +1,6 @@
 import corpus_pipeline
 import pytest
-from common import documents, row, text
+from common import documents, empty, hard, row, text
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -27,3 +27,27 @@ def test_stages_take_effect(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in kept.select("doc_id").collect())
+
+
+def test_hard_rows_go_through_all_stages(spark, tmp_path):
+    """Nulls, long and empty texts, repeated rows, columns named as the operators' own."""
+    docs = hard(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (3, text(12, 777, line=99))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+        kept.write.parquet(str(tmp_path / f"s{n}"))
+        kept = spark.read.parquet(str(tmp_path / f"s{n}"))
+    ids = [r["doc_id"] for r in kept.collect()]
+    # 41, 42 and 43 have no words; 46 is there with one of its two texts twice
+    assert sorted(ids, key=str) == sorted([None, *range(41), *range(44, 48), 46], key=str) or 45 in ids and 47 not in ids
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} <= set(ids) and sum(r["n_tokens"] for r in out) > 0
+
+
+def test_empty_table(spark, tmp_path):
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
