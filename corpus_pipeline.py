@@ -1,7 +1,13 @@
 """A training corpus from the table of documents, in five stages.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs, and deleted when that one's result is written. All but the last
+return the columns of documents, whatever further ones there are and however they are named.
+
+Defined results: null, empty and word-less texts fall to the quality rules (too few words); very long texts
+are taken whole by every stage; rows with null ids, languages or sources go through like others; equal
+rows and near copies leave one row, the one with the least doc_id (null last; of ties the one with the
+least text digest); an empty table gives an empty result, an empty benchmark leaves all documents.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from helixgate.llm import decontaminate, mixing, quality, simhash, sstable
-from helixgate.llm.shared import fresh_path, read
+from helixgate.llm.shared import discard, materialize, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = fresh_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        kept = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(docs)
+        docs = kept
     return docs
