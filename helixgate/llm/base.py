@@ -35,9 +35,9 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"url_rules": url_rules, "secret_base": secret_base, "quality_base": quality_base, "mixing_targets": mixing_targets}
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _HITS = r"""SELECT row_id, doc_id, '{kind}' AS kind, {place} AS place,
-    list_filter(list_transform(range(1, len(m) + 1), i -> {{'a': coalesce(list_sum(list_transform(gap[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0), 'n': length(m[i]), 'k': length(g[i])}}), h -> h.k >= {least}) AS hits
+    list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'a': coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'k': length(g[i])}}), lambda h: h.k >= {least}) AS hits
     FROM (SELECT row_id, doc_id, string_split_regex(body, {pattern}) AS gap, regexp_extract_all(body, {pattern}) AS m, regexp_extract_all(body, {pattern}, {group}) AS g FROM d)"""
 _ASSIGN = r"""'(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
 _KINDS = " UNION ALL ".join(
@@ -61,11 +61,11 @@ SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FIL
     sha256(coalesce(string_agg(kind || ':' || h.a::BIGINT || ':' || (h.a + h.n)::BIGINT, ',' ORDER BY h.a, place) FILTER (WHERE kind IS NOT NULL), '')) AS base_sha256
 FROM d LEFT JOIN spans USING (row_id) GROUP BY row_id, doc_id""",
     "quality_base": rf"""
-WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS body, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS body, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 win AS (SELECT row_id, i, array_to_string(ws[i:i + 4], ' ') AS five FROM (SELECT row_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
 twice AS (SELECT row_id, i FROM win QUALIFY count(*) OVER (PARTITION BY row_id, five) > 1),
 rep AS (SELECT row_id, count(DISTINCT k) AS n FROM (SELECT row_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY 1)
-SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars, length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(ws) AS base_failed
 FROM d LEFT JOIN rep USING (row_id)""",
     "mixing_targets": f"""

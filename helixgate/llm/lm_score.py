@@ -183,7 +183,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same by tables of n-grams, their counts, joins and sums.
 ORACLE = r"""
-WITH w AS (SELECT doc_id, row_number() OVER () AS row_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, row_number() OVER () AS row_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, row_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
 p AS (SELECT row_id, i, ws[i] AS a, CASE WHEN i > 1 THEN ws[i - 1] END AS b, CASE WHEN i > 2 THEN ws[i - 2] END AS c FROM g),
 c1 AS (SELECT a, count(*) AS n FROM p GROUP BY 1), c2 AS (SELECT b, a, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2),
