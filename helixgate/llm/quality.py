@@ -61,6 +61,8 @@ class Rules:
     subset: float = 0.75
     #: concentration steps at most; determinants settle well before
     max_steps: int = 30
+    #: a start has settled when a step lowers the logarithm of its determinant by no more
+    tolerance: float = 1e-4
     #: share of a normal sample that would be rejected
     tail: float = 1e-9
     #: spread that is ordinary in any group, per entry in fixed-point units (1000 = 1.0)
@@ -284,17 +286,23 @@ def _scale(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def mcd(rows: DataFrame, rules: Rules) -> DataFrame:
     """``rows``: g, x0..x4. Returns g, mean, inv (of the reweighted scatter) and scale."""
-    params = _starts(rows, rules)
+    # each start of each group goes on until it has settled, whatever the others do
+    params, settled = _starts(rows, rules).withColumn("logdet", F.lit(1e300)), []
     for _ in range(rules.max_steps):
         near = rows.join(params, "g").withColumn("d2", _distance()).withColumn("b", _bin())
         limit = _nth(near.groupBy("g", "start", "b").agg(F.count("*").alias("n")), ["g", "start"], "b", rules.subset, "limit")
-        new = materialize(_solve(_moments(near.join(limit, ["g", "start"]).where("b <= limit")), rules), "quality-step")
-        settled = new.join(params.select("g", "start", F.col("logdet").alias("before")), ["g", "start"]).where("logdet < before - 1e-6").isEmpty()
-        discard(params)
-        params = new
-        if settled:
+        new = _solve(_moments(near.join(limit, ["g", "start"]).where("b <= limit")), rules)
+        before = params.select("g", "start", F.col("logdet").alias("before"))
+        new = new.join(before, ["g", "start"]).withColumn("done", F.col("logdet") >= F.col("before") - rules.tolerance).drop("before")
+        new = materialize(new, "quality-step")
+        settled.append(new.where("done").drop("done"))
+        params = new.where("not done").drop("done")
+        if params.isEmpty():
             break
+    for more in settled:
+        params = params.unionByName(more)
     best = params.groupBy("g").agg(F.min_by(F.struct("mean", "inv"), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+    best = materialize(best, "quality-best")
     raw = materialize(_scale(rows, best), "quality-raw")
     inside = rows.join(raw, "g").where(_distance() <= F.col("scale") * chi_square_point(0.025)).withColumn("start", F.lit(0))
     final = materialize(_solve(_moments(inside), rules).select("g", "mean", "inv"), "quality-final")

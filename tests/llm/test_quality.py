@@ -69,7 +69,7 @@ def numpy_mcd(x, rules=quality.Rules()):
             b = bins(mean, np.linalg.inv(cov))
             mean, cov = fit(x[b <= nth(b, rules.subset)])
             new = np.linalg.slogdet(cov)[1]
-            if new >= det - 1e-6:
+            if new >= det - rules.tolerance:
                 break
             det = new
         found.append((np.linalg.slogdet(cov)[1], mean, cov))
