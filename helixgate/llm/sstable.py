@@ -266,7 +266,7 @@ class Encoder:
     New words of Latin letters go to the library many to a string. Its word-end marks tell them
     apart again; a string whose marks don't add up is encoded word by word."""
 
-    def __init__(self, tokenizer_json: str, most: int = 150_000, whole: bool = False):
+    def __init__(self, tokenizer_json: str, most: int = 300_000, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -363,7 +363,7 @@ class Encoder:
         return [(instead[n] if n in instead else ids[a:b]) + self.end for n, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()))]
 
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 #: characters of text to a shard
 SHARD_CHARS = 32_000_000
 _encoders: dict[int, Encoder] = {}
