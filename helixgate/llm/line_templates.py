@@ -8,11 +8,15 @@ then the line is its own template, so that unlike lines of prose don't fall toge
 template comes from at least ``min_docs`` documents are dropped from all of them.
 
 All passes but two carry digests of lines: leaves, lines and templates are counted by 64-bit
-hashes, combined map-side. Texts move twice, streamed past short lists of line numbers: once to
-fetch one copy of each distinct line of the recurring leaves, once to be rebuilt.
+hashes, combined map-side. Texts move once, past short lists of line numbers, to be rebuilt. To
+fetch one copy of each distinct line of the recurring leaves they stay where they are: a Bloom filter
+goes to them, and an exact join drops what it lets through besides. (Leaves in which every line recurs
+as it is need none.) Beyond some millions of such lines
+(``filter_bits``) the filter lets more through, which costs time and changes no result.
 
 Support is counted in documents: several lines of one document that fall together, in a vote or in a
-template, count once for it.
+template, count once for it. A line of fewer than ``min_docs`` documents is counted with their names;
+one of more settles by itself what it votes for.
 
 Defined results: null text has no lines and stays null; very long texts and lines are taken whole; blank
 lines are never dropped and count in n_lines; a line that repeats within one document counts once for
@@ -26,9 +30,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize, read, slices, tidied
@@ -46,6 +51,8 @@ class Tree:
     min_docs: int = 3
     #: share of constant words that a generalised template needs
     min_constant: float = 0.7
+    #: size of the filter of lines to fetch, a power of two; 16 MB
+    filter_bits: int = 1 << 27
 
 
 def words_of(line: bytes) -> list[bytes]:
@@ -104,61 +111,104 @@ def _mark(*cols: str):
     return F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols))
 
 
-def _word_rows(docs: DataFrame, wanted: DataFrame, tree: Tree) -> DataFrame:
-    """line, leaf, size, place, word (a hash) of each wanted line, from one document that has it."""
-    nos = wanted.groupBy(_mark("doc_id", "th").alias("k")).agg(F.collect_set("no").alias("nos"))
-    met = _key(docs).select(_mark("doc_id", "th").alias("k"), "text").join(nos, "k").select("text", "nos")
+def _places(doc: np.ndarray, no: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a document's line in a Bloom filter of ``bits`` bits, a power of two."""
+    x = doc.astype(np.uint64) + (no.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def _sieve(wanted: DataFrame, most: int) -> np.ndarray:
+    """Bloom filter of lines (doc, no): 16 to 32 bits for each, ``most`` in all, as 64-bit words."""
+    bits = max(64, min(most, 1 << (16 * wanted.count()).bit_length()))
 
     def run(batches):
-        for batch in slices(batches):
-            out: list[list] = [[], [], [], [], []]
-            for data, nos in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("nos").to_pylist()):
-                lines = (data or b"").split(b"\n")
-                for k in nos:
-                    words = words_of(lines[k])
-                    line, leaf = _signed(xxhash.xxh64_intdigest(b" ".join(words))), leaf_of(words, tree.depth)
-                    for place, w in enumerate(words):
-                        for col, x in zip(out, (line, leaf, len(words), place, _signed(xxhash.xxh64_intdigest(w)))):
-                            col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["line", "leaf", "size", "place", "word"])
+        for batch in batches:
+            at = np.concatenate(_places(batch.column("doc").to_numpy(), batch.column("no").to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
-    # rows that repeat a document give its lines again
-    return met.mapInArrow(tidied(run), "line long, leaf long, size long, place long, word long")
+    got = wanted.select("doc", "no").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
-def _supported(groups: DataFrame, few: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """``keys`` whose lines (line, docs) come from ``least`` different documents. One line of so many
-    is enough; where only several lines add up to it, their documents are counted once each."""
-    sums = materialize(groups.groupBy(*keys).agg(F.sum("docs").alias("all"), F.max("docs").alias("most")).where(F.col("all") >= least), "line-support")
-    doubtful = groups.join(sums.where(F.col("most") < least).select(*keys), keys).select(*keys, "line").join(few, "line")
-    counted = doubtful.groupBy(*keys, "doc").agg(F.max("rows").alias("rows")).groupBy(*keys).agg(F.sum("rows").alias("n"))
-    return sums.where(F.col("most") >= least).select(*keys).unionByName(counted.where(F.col("n") >= least).select(*keys))
+def _line_votes(docs: DataFrame, wanted: DataFrame, tree: Tree) -> DataFrame:
+    """line and votes (hashes of leaf, place and word) of each wanted line. Texts stay where they are: a filter
+    goes to them, and the few other lines that it lets through are for the caller to drop."""
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted, tree.filter_bits))
+
+    def run(batches):
+        bits = sieve.value
+        for batch in slices(batches):
+            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            sizes = np.array([x.count(b"\n") + 1 for x in texts])
+            begins = np.cumsum(sizes) - sizes
+            no = np.arange(sizes.sum()) - np.repeat(begins, sizes)
+            of = np.repeat(np.arange(len(texts)), sizes)
+            hit = np.ones(len(no), bool)
+            for at in _places(batch.column("doc").to_numpy()[of], no, 64 * len(bits)):
+                hit &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            line, votes, last, parts = [], [], -1, []
+            for n, k in zip(of[hit].tolist(), no[hit].tolist()):
+                if n != last:
+                    last, parts = n, texts[n].split(b"\n")
+                if words := words_of(parts[k]):
+                    leaf = leaf_of(words, tree.depth)
+                    line.append(_signed(xxhash.xxh64_intdigest(b" ".join(words))))
+                    votes.append([_signed(xxhash.xxh64_intdigest(w, (leaf + place) % (1 << 64))) for place, w in enumerate(words)])
+            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(votes, pa.list_(pa.int64()))], names=["line", "votes"])
+
+    return _key(docs).select(F.xxhash64("doc_id", "th").alias("doc"), "text").mapInArrow(tidied(run), "line long, votes array<long>")
+
+
+def _supported(groups: DataFrame, key: str, least: int) -> DataFrame:
+    """Values of ``key`` that ``least`` different documents have; a null document stands for so many."""
+    pairs = groups.select(key, F.explode("docs").alias("doc")).distinct()
+    voices = F.sum(F.when(F.col("doc").isNull(), least).otherwise(1))
+    return pairs.groupBy(key).agg(voices.alias("n")).where(F.col("n") >= least).select(key)
+
+
+def _known_lines(lines: DataFrame, tree: Tree) -> DataFrame:
+    """leaf, line, docs, doc and no (of one occurrence). docs: its documents, copies of rows numbered;
+    one null where they are ``min_docs`` or more."""
+    seen = lines.where("new_line").select("leaf", "line", F.xxhash64("doc_id", "th").alias("doc"), "no")
+    nth = F.row_number().over(Window.partitionBy("leaf", "line").orderBy("doc", "no"))
+    first = seen.withColumn("nth", nth).where(F.col("nth") <= tree.min_docs)
+    known = first.groupBy("leaf", "line").agg(F.sort_array(F.collect_list("doc")).alias("ids"), F.min(F.struct("doc", "no")).alias("at"))
+    numbered = F.transform("ids", lambda x, k: F.xxhash64(x, k + 1 - F.array_position("ids", x)))
+    alone = F.size("ids") >= tree.min_docs
+    return known.select("leaf", "line", F.when(alone, F.array(F.lit(None).cast("long"))).otherwise(numbered).alias("docs"), "at.doc", "at.no")
 
 
 def recurring_lines(docs: DataFrame, tree: Tree = Tree()) -> tuple[DataFrame, DataFrame]:
-    """(lines, dropped): all lines of all documents by hash, and the hashes ``line`` to drop."""
-    lines = materialize(_lines(docs, tree), "lines")
-    leaves = lines.where("new_leaf").groupBy("leaf").count().where(F.col("count") >= tree.min_docs).select("leaf")
-    counted = lines.where("new_line").groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "th", "no")).alias("at"))
-    # a line that recurs as it is needs no template, but takes part in its leaf's counts
-    known = materialize(counted.join(leaves, "leaf", "left_semi"), "lines-of-leaves")
-    words = materialize(_word_rows(docs, known.select("at.doc_id", "at.th", "at.no"), tree).distinct(), "line-words")
-    # the documents of lines that fewer than min_docs hold: where these add up, documents may repeat
-    few = lines.where("new_line").join(known.where(F.col("docs") < tree.min_docs).select("line"), "line", "left_semi")
-    few = materialize(few.groupBy("line", F.xxhash64("doc_id", "th").alias("doc")).agg(F.count("*").alias("rows")), "lines-few")
-    votes = words.join(known.select("line", "docs"), "line")
-    constant = _supported(votes, few, ["leaf", "size", "place", "word"], tree.min_docs)
-    fixed = words.join(constant, ["leaf", "size", "place", "word"])
-    # a template's name: its leaf and the sum of the hashes of its constant words and their places
-    shape = fixed.groupBy("line", "leaf", "size").agg(F.count("*").alias("fixed"), F.sum(F.xxhash64("place", "word").cast("decimal(38,0)")).alias("words"))
-    named = shape.select(
-        "line",
-        F.when(F.col("fixed") >= tree.min_constant * F.col("size"), F.sha2(F.concat_ws("/", "leaf", "size", "fixed", "words"), 256)).otherwise(F.col("line").cast("string")).alias("template"),
-    )
-    by_line = materialize(known.select("line", "docs").join(named, "line", "left").select("line", "docs", F.coalesce("template", F.col("line").cast("string")).alias("template")), "line-templates")
-    often = _supported(by_line, few, ["template"], tree.min_docs)
-    dropped = materialize(by_line.join(often, "template", "left_semi").select("line").distinct(), "lines-dropped")
-    discard(known, words, few, by_line)
+    """(lines, dropped): the lines of all recurring leaves by hash, and the hashes ``line`` to drop."""
+    every = materialize(_lines(docs, tree), "lines")
+    # written, as joins of tables that are only dealt out can split a hot leaf or template
+    leaves = materialize(every.where("new_leaf").groupBy("leaf").count().where(F.col("count") >= tree.min_docs).select("leaf"), "leaves")
+    lines = materialize(every.join(leaves, "leaf", "left_semi").drop("new_leaf"), "lines-of-leaves")
+    discard(every, leaves)
+    known = materialize(_known_lines(lines, tree), "lines-known")
+    # a line that recurs as it is needs no template, but takes part in the counts of a leaf where others do
+    alone = F.col("docs")[0].isNull()
+    unsettled = materialize(known.where(~alone).select("leaf").distinct(), "leaves-unsettled")
+    wanted = materialize(known.join(unsettled, "leaf", "left_semi"), "lines-wanted")
+    # rows that repeat a document give its lines again
+    votes = _line_votes(docs, wanted.select("doc", "no"), tree).dropDuplicates(["line"]).join(wanted.select("leaf", "line", "docs"), "line")
+    votes = materialize(votes, "line-votes")
+    each = votes.select("line", "docs", F.explode("votes").alias("vote"))
+    constant = materialize(_supported(each, "vote", tree.min_docs), "votes-constant")
+    # a template's name: its leaf and its constant words with their places
+    shape = each.select("line", "vote").join(constant, "vote").groupBy("line").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("vote")).alias("words"))
+    named = votes.select("line", "leaf", "docs", F.size("votes").alias("size")).join(shape, "line", "left")
+    general = F.sha2(F.concat_ws("/", "leaf", "fixed", "words"), 256)
+    template = F.when(F.col("fixed") >= tree.min_constant * F.col("size"), general).otherwise(F.col("line").cast("string"))
+    by_line = materialize(named.select("line", "docs", template.alias("template")), "line-templates")
+    often = materialize(_supported(by_line, "template", tree.min_docs), "templates")
+    others = by_line.where(~alone).join(often, "template", "left_semi").select("line")
+    dropped = materialize(known.where(alone).select("line").unionByName(others), "lines-dropped")
+    discard(known, unsettled, wanted, votes, constant, by_line, often)
     return lines, dropped
 
 

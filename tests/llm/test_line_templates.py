@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -79,3 +80,50 @@ def test_copies(spark, copies):
     rows = [(7, text(30, 3))] * copies + [(8, text(30, 4))]
     got = lt.drop_recurring(documents(spark, [row(*r) for r in rows])).collect()
     assert sorted(str(tuple(r)) for r in got) == brute(rows)
+
+
+def stages(spark):
+    """Bytes that shuffles wrote, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+
+def test_texts_move_once(spark):
+    """Where no join is a broadcast, as in large tables, all shuffles together write little more than the texts."""
+    r = random.Random(5)
+    prose = lambda: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(40))
+    rows = [(n, "\n".join([*(prose() for _ in range(8)), f"Page of the {'old' if n % 2 else 'new'} book, all rights reserved"])) for n in range(400)]
+    docs, before = documents(spark, [row(*x) for x in rows]), stages(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lt.drop_recurring(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wrote = sum(n for k, n in stages(spark).items() if k not in before)
+    assert sorted(str(tuple(x)) for x in got) == brute(rows)
+    assert sum(x["n_dropped"] for x in got) == 400
+    assert wrote < 1.6 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 27])
+@pytest.mark.parametrize("least", [2, 3, 5])
+def test_any_filter_and_support(spark, bits, least):
+    """A filter that lets every line through gives the same; so do repeated rows, with any least support."""
+    rows = bodies()
+    rows += [(40, text(30, 3))] * 2 + [(41, text(30, 3))] * 2 + [(42, text(30, 3).replace("x", "y")), (None, rows[1][1])]
+    tree = lt.Tree(min_docs=least, filter_bits=bits)
+    got = lt.drop_recurring(documents(spark, [row(*x) for x in rows]), tree).collect()
+    assert sorted(str(tuple(x)) for x in got) == brute(rows, tree)
+
+
+def test_leaves_that_recur_whole_need_no_words(spark, monkeypatch):
+    """Where every line recurs as it is, no line is fetched; all are dropped."""
+    wanted = []
+    fetch = lt._line_votes
+    monkeypatch.setattr(lt, "_line_votes", lambda docs, w, tree: wanted.append(w.count()) or fetch(docs, w, tree))
+    rows = [(n, text(60, n % 5)) for n in range(15)]
+    got = lt.drop_recurring(documents(spark, [row(*x) for x in rows])).collect()
+    assert sorted(str(tuple(x)) for x in got) == brute(rows)
+    assert wanted == [0] and sum(x["n_dropped"] for x in got) == 75
